@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import exact, licenses, lines, quality
+from quillspan.llm import exact, licenses, lines, pretokens, quality
 
-MODULES = (quality, licenses, exact, lines)
+MODULES = (quality, licenses, pretokens, exact, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
