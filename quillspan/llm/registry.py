@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import chat, exact, licenses, lines, packing, pretokens, quality, warc
+from quillspan.llm import chat, exact, licenses, lines, ngrams, packing, pretokens, quality, warc
 
-MODULES = (quality, licenses, pretokens, chat, packing, warc, exact, lines)
+MODULES = (quality, licenses, pretokens, chat, packing, warc, exact, lines, ngrams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
