@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import tpch
+from quillspan.plans import grouping, relational, tpch, windowing
 from quillspan.session import configure
 
-MODULES = (tpch,)
+MODULES = (tpch, relational, grouping, windowing)
 
 
 def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
