@@ -53,7 +53,7 @@ def json_value_array(text: Column, path: str = "$") -> Column:
 def json_query_array(text: Column, path: str = "$") -> Column:
     """The elements of an array as JSON text."""
     elements = F.variant_get(F.parse_json(F.get_json_object(text, _path(path))), "$", "array<variant>")
-    return F.when(F.startswith(_kind(text, path), F.lit("ARRAY")), F.transform(elements, F.to_json))
+    return F.when(F.startswith(_kind(text, path), F.lit("ARRAY")), F.transform(elements, lambda e: F.to_json(e)))
 
 
 def get_field(text: Column, name: str) -> Column:

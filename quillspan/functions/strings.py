@@ -82,7 +82,7 @@ def instr(text: Column, part: str, position: int = 1, occurrence: int = 1) -> Co
         return F.when(found == 0, F.lit(0)).otherwise(length - found - len(part) + 2)
     place = F.locate(part, text, position)
     for _ in range(occurrence - 1):
-        place = F.when(place == 0, F.lit(0)).otherwise(F.locate(F.lit(part), text, place + 1))
+        place = F.when(place == 0, F.lit(0)).otherwise(F.call_function("locate", F.lit(part), text, place + 1))
     return place
 
 
