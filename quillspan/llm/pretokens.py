@@ -37,6 +37,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from quillspan.llm.common import binary_text
 from quillspan.sources.scratch import keep
 
 #: A batch holds at most so many text bytes (a longer document is a batch of its own) and documents.
-BATCH_BYTES, BATCH_DOCS = 24 << 20, 10_000
+BATCH_BYTES, BATCH_DOCS = 32 << 20, 10_000
 #: Longer words are merged by a heap instead of the fold.
 LONG_WORD = 64
 #: Buckets of the literal rank map, a few entries each: a map literal is searched from its start.
@@ -101,6 +102,17 @@ class LibrarySplitter:
         return [token for i, part in enumerate(parts) for token in ([part] if i % 2 else self._plain(part))]
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Small non-negative integers in few bytes: equal byte places side by side, then compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.compress(planes, 3)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = held = 0
     for i, size in enumerate(sizes):
@@ -119,12 +131,12 @@ def _batch_rows(number: int, ids: list, texts: list[bytes], split, ordered: bool
         tokens = split(text.decode("utf-8"))
         own = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
         if ordered:
-            indexes.append(own.tobytes())
+            indexes.append(squeeze(own))
             times.append(None)
         else:
             found, n = np.unique(own, return_counts=True)
-            indexes.append(found.astype(np.int32).tobytes())
-            times.append(n.astype(np.int32).tobytes())
+            indexes.append(squeeze(np.diff(found, prepend=0)))  # ascending, so steps are small
+            times.append(squeeze(n))
     d, w = len(texts), len(vocabulary)
     columns = [
         ["doc"] * d + ["word"] * w,
@@ -164,7 +176,11 @@ def _by_local(table: pa.Table, value: str) -> pa.Table:
 
 
 def piece_counts(words: DataFrame, file: str) -> DataFrame:
-    """(word, pieces) of distinct pre-tokens, by the tokenizer file's library."""
+    """(of_batch, local, pieces) of every vocabulary row; each distinct pre-token is counted once.
+
+    The vocabulary rows of a pre-token are brought together and sorted, which
+    is the join of its count with all its batches in a single shuffle.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,27 +189,33 @@ def piece_counts(words: DataFrame, file: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(file)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        last, n_last = None, 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                texts = [w.decode("utf-8") for w in part.column(0).to_pylist()]
-                n = [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32())], names=["word", "pieces"])
+            words = batch.column(0).to_pylist()
+            fresh = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
+            counted = iter(tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False))
+            pieces = []
+            for word in words:
+                if word != last:
+                    last, n_last = word, len(next(counted).ids)
+                pieces.append(n_last)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pieces, pa.int32())], names=["of_batch", "local", "pieces"])
 
-    return words.mapInArrow(count, "word binary, pieces int")
+    together = words.select("word", "batch", "local").repartition("word").sortWithinPartitions("word")
+    return together.mapInArrow(count, "of_batch long, local int, pieces int")
 
 
 def token_counts(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     table = batch_table(docs, doc_id, text, lambda: LibrarySplitter(file), ordered=False)
     words = table.filter("kind = 'word'").select("batch", "local", "word")
-    pieces = words.join(piece_counts(words.select("word").distinct(), file), "word").select(F.col("batch").alias("of_batch"), "local", "pieces")
+    pieces = piece_counts(words, file)
     frequencies = table.filter("kind = 'doc'").select("batch", "doc_id", "n_bytes", "indexes", "times")
 
     def total(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
         own = _by_local(vocabulary, "pieces").column("pieces").to_numpy()
         sums = [
-            int(np.dot(own[np.frombuffer(i, np.int32)].astype(np.int64), np.frombuffer(t, np.int32)))
+            int(np.dot(own[np.cumsum(unsqueeze(i))].astype(np.int64), unsqueeze(t)))
             for i, t in zip(documents.column("indexes").to_pylist(), documents.column("times").to_pylist(), strict=True)
         ]
         return documents.select(["doc_id", "n_bytes"]).append_column("n_tokens", pa.array(sums, pa.int64()))
@@ -228,6 +250,11 @@ def rank_literal(spark: SparkSession, pieces: list[bytes]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_merges(word: Column, ranks: Column) -> Column:
     """Token ids of a word (one character a byte): merges the pair of lowest rank until none is left."""
 
@@ -235,17 +262,16 @@ def fold_merges(word: Column, ranks: Column) -> Column:
         return F.try_element_at(F.get(ranks, F.pmod(F.hash(piece), F.lit(RANK_BUCKETS))), piece)
 
     def merge(pieces: Column, pair_ranks: Column) -> Column:
+        def join(at: Column) -> Column:
+            joined = F.array(F.concat(F.get(pieces, at - 1), F.get(pieces, at)))
+            return F.concat(F.slice(pieces, F.lit(1), at - 1), joined, F.slice(pieces, at + 2, F.lit(LONG_WORD)))
+
         best = F.array_min(pair_ranks)
-        at = F.array_position(pair_ranks, best).cast("int")
-        joined = F.array(F.concat(F.get(pieces, at - 1), F.get(pieces, at)))
-        merged = F.concat(F.slice(pieces, F.lit(1), at - 1), joined, F.slice(pieces, at + 2, F.size(pieces)))
-        return F.when(best.isNull(), pieces).otherwise(merged)
+        return F.when(best.isNull(), pieces).otherwise(bind(F.array_position(pair_ranks, best).cast("int"), join))
 
     def step(pieces: Column, _: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: rank(F.concat(F.get(pieces, i - 1), F.get(pieces, i))))
-        # a one-element array binds the pair ranks, which are needed twice
-        bound = F.get(F.transform(F.array(pairs), lambda r: merge(pieces, r)), F.lit(0))
-        return F.when(F.size(pieces) < 2, pieces).otherwise(bound)
+        return F.when(F.size(pieces) < 2, pieces).otherwise(bind(pairs, lambda r: merge(pieces, r)))
 
     letters = F.filter(F.split(word, ""), lambda c: c != "")
     rounds = F.when(F.length(word) < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length(word) - 1))
@@ -280,7 +306,7 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode_words(words: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """(word, ids) of distinct words."""
+    """(word, places, ids) of distinct words (word, places)."""
     spark = words.sparkSession
     shared = spark.sparkContext.broadcast(pieces)  # of the vocabulary file's size
 
@@ -288,10 +314,10 @@ def encode_words(words: DataFrame, pieces: list[bytes]) -> DataFrame:
         ranks = {piece: i for i, piece in enumerate(shared.value)}
         for batch in batches:
             ids = [heap_merges(word, ranks) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "places", "ids"])
 
-    short = words.filter(F.octet_length("word") <= LONG_WORD).select("word", fold_merges(F.decode("word", "ISO-8859-1"), rank_literal(spark, pieces)).alias("ids"))
-    return short.unionAll(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(long_ids, "word binary, ids array<int>"))
+    short = words.filter(F.octet_length("word") <= LONG_WORD).select("word", "places", fold_merges(F.decode("word", "ISO-8859-1"), rank_literal(spark, pieces)).alias("ids"))
+    return short.unionAll(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(long_ids, "word binary, places array<struct<batch:bigint,local:int>>, ids array<int>"))
 
 
 def encode_decode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +346,10 @@ def _assembled(docs: DataFrame, file: str, doc_id: str, text: str, make, schema:
     pieces = read_ranks(file)
     table = batch_table(docs, doc_id, text, PatternSplitter, ordered=True)
     words = table.filter("kind = 'word'").select("batch", "local", "word")
-    encoded = words.join(encode_words(keep(words.select("word").distinct(), "words"), pieces), "word").select(F.col("batch").alias("of_batch"), "local", "ids")
+    # a group holds a pre-token's rows of at most 1024 partitions, so hot ones stay bounded
+    grouped = words.groupBy("word", F.shiftright("batch", 42).alias("block")).agg(F.collect_list(F.struct("batch", "local")).alias("places"))
+    encoded = encode_words(keep(grouped.select("word", "places"), "words"), pieces)
+    encoded = encoded.select("ids", F.explode("places").alias("place")).select(F.col("place.batch").alias("of_batch"), F.col("place.local").alias("local"), "ids")
     sequences = table.filter("kind = 'doc'").select("batch", "doc_id", "indexes")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary file's size
     fields = [("doc_id", pa.int64()), *_OUT[make]]
@@ -330,7 +359,7 @@ def _assembled(docs: DataFrame, file: str, doc_id: str, text: str, make, schema:
         flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
         rows = []
         for number, indexes in zip(documents.column("doc_id").to_pylist(), documents.column("indexes").to_pylist(), strict=True):
-            own = np.frombuffer(indexes, np.int32)
+            own = unsqueeze(indexes)
             sizes = bounds[own + 1] - bounds[own]
             ends = np.cumsum(sizes)
             take = np.repeat(bounds[own] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
