@@ -46,14 +46,16 @@ from quillspan.sources.scratch import keep
 
 #: A batch holds at most so many text bytes (a longer document is a batch of its own) and documents.
 BATCH_BYTES, BATCH_DOCS = 32 << 20, 10_000
+#: Documents whose sequences share a row of the work table of operator 4.
+ROW_DOCS = 64
 #: Longer words are merged by a heap instead of the fold.
 LONG_WORD = 64
 #: Buckets of the literal rank map, a few entries each: a map literal is searched from its start.
 RANK_BUCKETS = 1 << 15
 
-BATCHES = "kind string, batch long, local int, word binary, doc_id long, n_bytes long, indexes binary, times binary"
+BATCHES = "kind string, batch long, local int, word binary, doc_id long, n_bytes long, indexes binary, times binary, docs array<long>, sizes array<int>"
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("batch", pa.int64()), ("local", pa.int32()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("indexes", pa.binary()), ("times", pa.binary())]
+    [("kind", pa.string()), ("batch", pa.int64()), ("local", pa.int32()), ("word", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("indexes", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))]
 )
 
 #: Code points that the two pattern libraries class alike; texts with others are split by the tokenizer's own library.
@@ -126,29 +128,25 @@ def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def _batch_rows(number: int, ids: list, texts: list[bytes], split, ordered: bool) -> pa.RecordBatch:
     vocabulary = Vocabulary()
-    indexes, times = [], []
+    sequences = []
     for text in texts:
         tokens = split(text.decode("utf-8"))
-        own = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
-        if ordered:
-            indexes.append(squeeze(own))
-            times.append(None)
-        else:
+        sequences.append(np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens)))
+    rows = []
+    if ordered:
+        # documents share a row, since short sequences hardly compress alone
+        for start in range(0, len(texts), ROW_DOCS):
+            part = sequences[start : start + ROW_DOCS]
+            rows.append(("doc", number, None, None, None, None, squeeze(np.concatenate(part)), None, ids[start : start + ROW_DOCS], [len(x) for x in part]))
+    else:
+        for doc_id, text, own in zip(ids, texts, sequences, strict=True):
             found, n = np.unique(own, return_counts=True)
-            indexes.append(squeeze(np.diff(found, prepend=0)))  # ascending, so steps are small
-            times.append(squeeze(n))
-    d, w = len(texts), len(vocabulary)
-    columns = [
-        ["doc"] * d + ["word"] * w,
-        [number] * (d + w),
-        [None] * d + list(range(w)),
-        [None] * d + [token.encode() for token in vocabulary],
-        ids + [None] * w,
-        [len(text) for text in texts] + [None] * w,
-        indexes + [None] * w,
-        times + [None] * w,
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+            # ascending indexes, so the steps between them are small
+            rows.append(("doc", number, None, None, doc_id, len(text), squeeze(np.diff(found, prepend=0)), squeeze(n), None, None))
+    w = len(vocabulary)
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    words = [["word"] * w, [number] * w, list(range(w)), [token.encode() for token in vocabulary], *[[None] * w] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(c + more, f.type) for c, more, f in zip(columns, words, _ARROW, strict=True)], schema=_ARROW)
 
 
 def batch_table(docs: DataFrame, doc_id: str, text: str, splitter, ordered: bool) -> DataFrame:
@@ -306,18 +304,10 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode_words(words: DataFrame, pieces: list[bytes]) -> DataFrame:
-    """(word, places, ids) of distinct words (word, places)."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(pieces)  # of the vocabulary file's size
-
-    def long_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = {piece: i for i, piece in enumerate(shared.value)}
-        for batch in batches:
-            ids = [heap_merges(word, ranks) for word in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "places", "ids"])
-
-    short = words.filter(F.octet_length("word") <= LONG_WORD).select("word", "places", fold_merges(F.decode("word", "ISO-8859-1"), rank_literal(spark, pieces)).alias("ids"))
-    return short.unionAll(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(long_ids, "word binary, places array<struct<batch:bigint,local:int>>, ids array<int>"))
+    """(places, ids, long_word): ids of distinct words; a long word is handed on for ``heap_merges`` instead."""
+    short = F.octet_length("word") <= LONG_WORD
+    ids = fold_merges(F.decode("word", "ISO-8859-1"), rank_literal(words.sparkSession, pieces))
+    return words.select("places", F.when(short, ids).alias("ids"), F.when(~short, F.col("word")).alias("long_word"))
 
 
 def encode_decode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,23 +337,34 @@ def _assembled(docs: DataFrame, file: str, doc_id: str, text: str, make, schema:
     table = batch_table(docs, doc_id, text, PatternSplitter, ordered=True)
     words = table.filter("kind = 'word'").select("batch", "local", "word")
     # a group holds a pre-token's rows of at most 1024 partitions, so hot ones stay bounded
-    grouped = words.groupBy("word", F.shiftright("batch", 42).alias("block")).agg(F.collect_list(F.struct("batch", "local")).alias("places"))
-    encoded = encode_words(keep(grouped.select("word", "places"), "words"), pieces)
-    encoded = encoded.select("ids", F.explode("places").alias("place")).select(F.col("place.batch").alias("of_batch"), F.col("place.local").alias("local"), "ids")
-    sequences = table.filter("kind = 'doc'").select("batch", "doc_id", "indexes")
+    dealt = words.withColumn("block", F.shiftright("batch", 42)).repartition("word", "block")
+    grouped = dealt.groupBy("word", "block").agg(F.collect_list(F.struct("batch", "local")).alias("places"))
+    encoded = encode_words(grouped, pieces).select("ids", "long_word", F.explode("places").alias("place"))
+    encoded = encoded.select(F.col("place.batch").alias("of_batch"), F.col("place.local").alias("local"), "ids", "long_word")
+    sequences = table.filter("kind = 'doc'").select("batch", "docs", "sizes", "indexes")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # of the vocabulary file's size
     fields = [("doc_id", pa.int64()), *_OUT[make]]
 
     def assemble(documents: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        lists = _by_local(vocabulary, "ids").column("ids").combine_chunks()
-        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        ranks = None
+        lists = [None] * vocabulary.num_rows
+        for local, ids, word in zip(*(vocabulary.column(c).to_pylist() for c in ("local", "ids", "long_word")), strict=True):
+            if word is not None:
+                ranks = ranks or {piece: i for i, piece in enumerate(shared.value)}
+                ids = heap_merges(word, ranks)
+            lists[local] = ids
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        flat = np.fromiter((i for x in lists for i in x), np.int32, bounds[-1])
         rows = []
-        for number, indexes in zip(documents.column("doc_id").to_pylist(), documents.column("indexes").to_pylist(), strict=True):
-            own = unsqueeze(indexes)
-            sizes = bounds[own + 1] - bounds[own]
-            ends = np.cumsum(sizes)
-            take = np.repeat(bounds[own] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-            rows.append((number, *make(flat[take], shared.value)))
+        for docs_, sizes_, indexes in zip(*(documents.column(c).to_pylist() for c in ("docs", "sizes", "indexes")), strict=True):
+            whole, at = unsqueeze(indexes), 0
+            for number, length in zip(docs_, sizes_, strict=True):
+                own = whole[at : at + length]
+                at += length
+                sizes = bounds[own + 1] - bounds[own]
+                ends = np.cumsum(sizes)
+                take = np.repeat(bounds[own] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+                rows.append((number, *make(flat[take], shared.value)))
         columns = list(zip(*rows, strict=True))
         return pa.table([pa.array(list(c), t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
