@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import binary_text
+from quillspan.llm.common import binary_text, free_name
 from quillspan.llm.components import connected_components
 from quillspan.sources.scratch import keep
 
@@ -405,9 +405,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one whose id names it; same columns."""
-    from quillspan.llm.common import free_name
+    """``docs`` with one document of each component, the one whose id names it; same columns.
 
+    Repeated rows with the kept id are one document and all stay.
+    """
     name = free_name(docs, "kept_id")
     kept = jaccard_components(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, docs[f"`{doc_id}`"].eqNullSafe(F.col(name)), "left_semi")
