@@ -295,6 +295,15 @@ def parse_date(pattern: str, text: Column, safe: bool = False) -> Column:
     return parse_timestamp(pattern, text, safe).cast("date")
 
 
+def parse_datetime(pattern: str, text: Column, safe: bool = False) -> Column:
+    return parse_timestamp(pattern, text, safe)
+
+
+def parse_time(pattern: str, text: Column, safe: bool = False) -> Column:
+    """Microseconds of the day."""
+    return micros_of_day(parse_timestamp(pattern, text, safe))
+
+
 # ---- intervals: struct(months, days, micros)
 
 

@@ -76,3 +76,12 @@ def bit_count_bytes(x: Column) -> Column:
     """BIT_COUNT(BYTES): set bits of all bytes."""
     pairs = F.regexp_extract_all(F.hex(x), F.lit("(..)"), 1)
     return F.aggregate(pairs, F.lit(0), lambda n, p: n + F.bit_count(F.conv(p, 16, 10).cast("int"))).cast("long")
+
+
+def parse_numeric(text: Column) -> Column:
+    """Text to NUMERIC, blanks around it allowed; unreadable text raises."""
+    return F.trim(text).cast("decimal(38,9)")
+
+
+def parse_bignumeric(text: Column) -> Column:
+    return F.trim(text).cast("decimal(38,18)")

@@ -177,6 +177,19 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", h(hashing.md5(t)).alias("md5"), h(hashing.sha1(t)).alias("sha1"), h(hashing.sha256(t)).alias("sha256"), F.length(hashing.sha512(t)).alias("n512"))
 
 
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "orders").select("o_orderkey", hashing.farm_fingerprint(F.col("o_orderpriority")).alias("print"))
+
+
+def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    price = F.concat(F.lit(" "), F.format_string("%.2f", "o_totalprice"))
+    clock = dates.format_datetime("%H:%M:%S", F.col("o_orderdate"))
+    return read_table(spark, d, "orders").select(
+        "o_orderkey", maths.parse_numeric(price).cast("double").alias("n"), maths.parse_bignumeric(price).cast("double").alias("b"), dates.parse_time("%H:%M:%S", clock).alias("micros"),
+        dates.parse_datetime("%Y%m%d", dates.format_datetime("%Y%m%d", F.col("o_orderdate"))).cast("date").alias("day"),
+    )
+
+
 def network(spark: SparkSession, d: str) -> DataFrame:
     u, k = F.col("url"), F.col("page_id")
     address = net.ipv4_from_int64(k * 65537)
@@ -197,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         conditionals, bits, casts, math_basic, math_transcendental, text_basic, text_codes, text_regexp, text_format, date_parts, date_arithmetic, date_truncation, timestamps, date_formats,
-        json_fields, array_functions, digests, network, geo,
+        json_fields, array_functions, digests, fingerprints, parsed_numbers, network, geo,
     )
 }
 
@@ -253,6 +266,22 @@ ORACLE = {
     "array_functions": """SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[3] AS DOUBLE), 5) AS third, CAST(NULL AS DOUBLE) AS none,
         range(1, CAST(label AS BIGINT) + 1, 2) AS odd, CAST([] AS BIGINT[]) AS empty, [label, 1] AS rev, label || '-x' AS text, 6 AS months, 5 AS quarters FROM embeddings""",
     "digests": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, 64 AS n512 FROM documents",
+    # the hash of texts of 4 to 16 bytes, in 128-bit arithmetic modulo 2^64
+    "fingerprints": """WITH s AS (SELECT DISTINCT o_orderpriority AS t, length(o_orderpriority) AS n, CAST(18446744073709551616 AS UHUGEINT) AS m, CAST(11160318154034397263 AS UHUGEINT) AS k FROM orders),
+        w AS (SELECT t, n, m, k, k + CAST(2 * n AS UHUGEINT) AS f,
+            CAST(list_sum(list_transform(range(0, least(n, 8)), lambda i: CAST(ascii(t[CAST(i + 1 AS INT)]) AS HUGEINT) << CAST(8 * i AS INT))) AS UHUGEINT) AS head8,
+            CAST(list_sum(list_transform(range(0, least(n, 8)), lambda i: CAST(ascii(t[CAST(n - least(n, 8) + i + 1 AS INT)]) AS HUGEINT) << CAST(8 * i AS INT))) AS UHUGEINT) AS tail8,
+            CAST(list_sum(list_transform(range(0, 4), lambda i: CAST(ascii(t[CAST(i + 1 AS INT)]) AS HUGEINT) << CAST(8 * i AS INT))) AS UHUGEINT) AS head4,
+            CAST(list_sum(list_transform(range(0, 4), lambda i: CAST(ascii(t[CAST(n - 4 + i + 1 AS INT)]) AS HUGEINT) << CAST(8 * i AS INT))) AS UHUGEINT) AS tail4 FROM s),
+        a AS (SELECT *, (head8 + k) % m AS a FROM w),
+        r AS (SELECT *, tail8 // 137438953472 + tail8 % 137438953472 * 134217728 AS b37, a // 33554432 + a % 33554432 * 549755813888 AS a25 FROM a),
+        p AS (SELECT t, m, f, CASE WHEN n >= 8 THEN (b37 * f % m + a) % m ELSE CAST(n AS UHUGEINT) + head4 * 8 END AS u, CASE WHEN n >= 8 THEN (a25 + tail8) % m * f % m ELSE tail4 END AS v FROM r),
+        x AS (SELECT *, CAST(xor(CAST(u AS UBIGINT), CAST(v AS UBIGINT)) AS UHUGEINT) * f % m AS x FROM p),
+        y AS (SELECT *, CAST(xor(xor(CAST(x AS UBIGINT), CAST(x // 140737488355328 AS UBIGINT)), CAST(v AS UBIGINT)) AS UHUGEINT) * f % m AS y FROM x),
+        z AS (SELECT t, CAST(CAST(xor(CAST(y AS UBIGINT), CAST(y // 140737488355328 AS UBIGINT)) AS UHUGEINT) * f % m AS HUGEINT) AS z FROM y)
+        SELECT o_orderkey, CAST(CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END AS BIGINT) AS print FROM orders JOIN z ON t = o_orderpriority""",
+    "parsed_numbers": """SELECT o_orderkey, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS n, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS b,
+        epoch_us(o_orderdate) - epoch_us(date_trunc('day', o_orderdate)::TIMESTAMP) AS micros, CAST(o_orderdate AS DATE) AS day FROM orders""",
     "network": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS h, page_id * 65537 AS n FROM pages)
         SELECT page_id, h AS host, regexp_extract(h, '([^.]+)$', 1) AS suffix, regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS domain, (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) AS ip, n,
         (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.0' AS net, '255.255.240.0' AS mask, CAST(NULL AS BLOB) AS none FROM p""",

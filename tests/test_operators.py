@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.functions import conditional, dates, maths, net, strings
+from quillspan.functions import conditional, dates, hashing, maths, net, strings
 from quillspan.operators import changes, relational
 from quillspan.operators.catalog import Catalog
 
@@ -86,3 +86,19 @@ def test_stream_equals_batch(spark, sf):
     query.stop()
     rows = lambda df: sorted(map(tuple, df.select("start", "event_type", "n").collect()))
     assert rows(spark.table("windowed")) == rows(streaming.windowed_counts(batch))
+
+
+@pytest.mark.parametrize("text, print_", [("1footrue", -1541654101129638711), ("2applefalse", 2794438866806483259), ("3true", -4880158226897771312)])
+def test_fingerprint_values(spark, text, print_):
+    assert one(spark, hashing.farm_fingerprint(F.lit(text))) == print_
+
+
+def test_fingerprint_of_all_lengths(spark):
+    assert one(spark, hashing.farm_fingerprint(F.lit(None).cast("string"))) is None
+    found = {hashing.fingerprint64(b"a" * n) for n in range(300)}
+    assert len(found) == 300 and all(-(2**63) <= x < 2**63 for x in found)
+
+
+def test_parse_numbers_and_times(spark):
+    assert str(one(spark, maths.parse_numeric(F.lit(" -12.5 ")))) == "-12.500000000"
+    assert one(spark, dates.parse_time("%H:%M", F.lit("01:02"))) == 3720 * 10**6
