@@ -95,8 +95,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     shards = max(1, -(-total // SHARD_PIECES))
 
     def pack_shard(table: pa.Table) -> pa.Table:
-        # nulls last: an id of null sorts behind all others
-        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        # nulls last: an id of null sorts behind all others; content decides between several of them, so a repeated task packs alike
+        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
         shard = table.column("shard")[0].as_py()
         bins, offsets = best_fit(*(table.column(c).to_pylist() for c in ("n_words", "source", "cluster")), capacity)
         return pa.table(
