@@ -126,12 +126,22 @@ def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def _frequent_first(words: list[str], sequences: list[np.ndarray]) -> tuple[list[str], list[np.ndarray]]:
+    """Numbers the vocabulary by falling frequency, so the common numbers are small and compress well."""
+    times = np.bincount(np.concatenate(sequences), minlength=len(words))
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    return [words[i] for i in order.tolist()], [place[s] for s in sequences]
+
+
 def _batch_rows(number: int, ids: list, texts: list[bytes], split, ordered: bool) -> pa.RecordBatch:
     vocabulary = Vocabulary()
     sequences = []
     for text in texts:
         tokens = split(text.decode("utf-8"))
         sequences.append(np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens)))
+    words, sequences = _frequent_first(list(vocabulary), sequences)
     rows = []
     if ordered:
         # documents share a row, since short sequences hardly compress alone
@@ -143,10 +153,10 @@ def _batch_rows(number: int, ids: list, texts: list[bytes], split, ordered: bool
             found, n = np.unique(own, return_counts=True)
             # ascending indexes, so the steps between them are small
             rows.append(("doc", number, None, None, doc_id, len(text), squeeze(np.diff(found, prepend=0)), squeeze(n), None, None))
-    w = len(vocabulary)
+    w = len(words)
     columns = [list(c) for c in zip(*rows, strict=True)]
-    words = [["word"] * w, [number] * w, list(range(w)), [token.encode() for token in vocabulary], *[[None] * w] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(c + more, f.type) for c, more, f in zip(columns, words, _ARROW, strict=True)], schema=_ARROW)
+    entries = [["word"] * w, [number] * w, list(range(w)), [token.encode() for token in words], *[[None] * w] * 6]
+    return pa.RecordBatch.from_arrays([pa.array(c + more, f.type) for c, more, f in zip(columns, entries, _ARROW, strict=True)], schema=_ARROW)
 
 
 def batch_table(docs: DataFrame, doc_id: str, text: str, splitter, ordered: bool) -> DataFrame:
