@@ -46,7 +46,8 @@ def from_base64(text: Column) -> Column:
 
 
 def to_base64(data: Column) -> Column:
-    return F.base64(data)
+    """One line: the line breaks that Spark puts behind every 76 characters are taken out."""
+    return F.translate(F.base64(data), "\r\n", "")
 
 
 @F.pandas_udf(T.StringType())

@@ -83,6 +83,18 @@ def text_codes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def text_codes_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The code functions over whole texts; wide results as digests."""
+    t = F.col("text")
+    raw = F.encode(t, "UTF-8")
+    return read_table(spark, d, "documents").select(
+        "doc_id", F.md5(strings.to_hex(raw)).alias("hex"), F.md5(F.decode(strings.from_hex(strings.to_hex(raw)), "UTF-8")).alias("unhex"), F.md5(strings.to_base64(raw)).alias("b64"),
+        F.md5(F.decode(strings.from_base64(strings.to_base64(raw)), "UTF-8")).alias("unb64"), F.md5(strings.code_points_to_string(strings.to_code_points(t))).alias("points"),
+        F.md5(F.decode(strings.from_base32(strings.to_base32(raw)), "UTF-8")).alias("unb32"), F.md5(strings.to_hex(strings.reverse_bytes(strings.reverse_bytes(raw)))).alias("twice"),
+        F.md5(strings.safe_convert_bytes_to_string(raw)).alias("valid"), strings.chr_(F.ascii(t)).alias("chr"), F.md5(strings.normalize(t, "NFC")).alias("nfc"),
+    )
+
+
 def text_regexp(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return read_table(spark, d, "documents").select(
@@ -209,7 +221,7 @@ def geo(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        conditionals, bits, casts, math_basic, math_transcendental, text_basic, text_codes, text_regexp, text_format, date_parts, date_arithmetic, date_truncation, timestamps, date_formats,
+        conditionals, bits, casts, math_basic, math_transcendental, text_basic, text_codes, text_codes_whole, text_regexp, text_format, date_parts, date_arithmetic, date_truncation, timestamps, date_formats,
         json_fields, array_functions, digests, fingerprints, parsed_numbers, network, geo,
     )
 }
@@ -235,6 +247,8 @@ ORACLE = {
         substr(p_name, -3, 2) AS sub, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS asc, unicode(p_name) AS uni, contains(lower(p_name), 're') AS has FROM part""",
     "text_codes": """SELECT doc_id, lower(hex(encode(t))) AS hex, t AS unhex, base64(encode(t)) AS b64, t AS unb64, t AS points, t AS unb32, lower(hex(encode(t))) AS twice, t AS valid, t[1] AS chr, t AS nfc
         FROM (SELECT doc_id, substr(text, 1, 20) AS t FROM documents)""",
+    "text_codes_whole": """SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, md5(text) AS unhex, md5(base64(encode(text))) AS b64, md5(text) AS unb64, md5(text) AS points, md5(text) AS unb32,
+        md5(lower(hex(encode(text)))) AS twice, md5(text) AS valid, text[1] AS chr, md5(nfc_normalize(text)) AS nfc FROM documents""",
     "text_regexp": """SELECT doc_id, regexp_matches(text, '[0-9]{3}') AS digits, CASE WHEN regexp_matches(text, '[a-z]+ing') THEN regexp_extract(text, '([a-z]+)ing', 1) END AS stem,
         regexp_extract_all(text, '[A-Z][a-z]+')[2] AS second, CAST(len(regexp_extract_all(text, '[A-Z]')) AS INT) AS capitals, CAST(length(text) AS INT) AS same,
         CAST(CASE WHEN regexp_matches(text, '[.,;]') THEN length(regexp_extract(text, '^[^.,;]*')) + 1 ELSE 0 END AS INT) AS at, CAST(len(string_split(text, ' ')) AS INT) AS parts,

@@ -1,5 +1,9 @@
 """Small cases of table changes, the catalog and dialect functions."""
 
+import base64
+import hashlib
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +106,18 @@ def test_fingerprint_of_all_lengths(spark):
 def test_parse_numbers_and_times(spark):
     assert str(one(spark, maths.parse_numeric(F.lit(" -12.5 ")))) == "-12.500000000"
     assert one(spark, dates.parse_time("%H:%M", F.lit("01:02"))) == 3720 * 10**6
+
+
+def test_text_codes_read_whole_texts(spark, tmp_path):
+    from quillspan.plans import registry
+
+    head = "the same twenty characters and more "
+    texts = {1: head + "é€😀" * 3000, 2: head + "é€😀" * 2999 + "e\u0301", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.queries()["text_codes_whole"](spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode() if isinstance(t, str) else t).hexdigest()
+    for i in (1, 2):
+        raw, plain = texts[i].encode(), md5(texts[i])
+        want = {"hex": md5(raw.hex()), "unhex": plain, "b64": md5(base64.b64encode(raw)), "unb64": plain, "points": plain, "unb32": plain, "twice": md5(raw.hex()), "valid": plain}
+        assert got[i].asDict() == want | {"doc_id": i, "chr": "t", "nfc": md5(unicodedata.normalize("NFC", texts[i]))}
+    assert got[3].points == md5("") and got[4].hex is None and got[4].nfc is None
