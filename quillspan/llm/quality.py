@@ -9,7 +9,9 @@ is left is rejected as depleted.
 A line is over the limit in a host when more than ``max(min_docs, share *
 documents of the host)`` distinct documents of the host have it.  Documents
 are distinct by text, so a thousand exact copies count once and are left to
-the deduplication operators.
+the deduplication operators.  ``clean`` counts by near-copy component
+(operator 10) instead, so a group of near copies counts once as well and its
+common lines do not deplete every member.
 
 Defined cases: null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows get equal results; lines
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm import ngrams
 from quillspan.llm.common import ASCII_SPACE, binary_text, row_key, without_lines
 from quillspan.sources.scratch import keep
 
@@ -98,11 +101,14 @@ def line_frequency(
     min_left: float = 0.3,
     min_words: int = 50,
     salts: int = 16,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics, boilerplate line numbers and verdict of every document.
 
     Columns: key, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_shared_lines, shared_words, drop, kept.
+    ``classes`` (key, copy_class), one row a key, makes documents distinct by
+    class instead of by text.
 
     The text is read once: what the counts need is written as a narrow work
     table.  Hot lines (in a third of all documents) are pre-aggregated before
@@ -117,14 +123,17 @@ def line_frequency(
     )
     base = keep(narrow.mapInArrow(_measure_batches, MEASURES), "quality")
 
-    distinct = base.groupBy("host", "text_hash").agg(F.first("line_hashes").alias("line_hashes"))
-    counts = (
-        distinct.select("host", F.explode(F.array_distinct("line_hashes")).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") > min_docs)
-    )
-    hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    if classes is None:
+        distinct = base.groupBy("host", "text_hash").agg(F.first("line_hashes").alias("line_hashes"))
+        lines_of = distinct.select("host", F.explode(F.array_distinct("line_hashes")).alias("line"))
+        documents = base.select("host", "text_hash").distinct()
+    else:
+        of_class = base.join(classes, "key").select("host", "copy_class", "text_hash", "line_hashes")
+        distinct = of_class.groupBy("host", "copy_class", "text_hash").agg(F.first("line_hashes").alias("line_hashes"))
+        lines_of = distinct.select("host", "copy_class", F.explode(F.array_distinct("line_hashes")).alias("line")).distinct()
+        documents = of_class.select("host", "copy_class").distinct()
+    counts = lines_of.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    hosts = documents.groupBy("host").agg(F.count("*").alias("host_docs"))
     over = (
         counts.join(hosts.select(F.col("host").alias("host_"), "host_docs"), F.col("host").eqNullSafe(F.col("host_")))
         .filter(F.col("n_docs") > F.lit(share) * F.col("host_docs"))
@@ -158,9 +167,18 @@ def line_frequency(
     )
 
 
+def copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(key, copy_class): the near-copy component of each document, found by content, so ids may be null or repeated."""
+    key = _key(docs, doc_id, host, text)
+    keyed = docs.select(F.xxhash64(key).alias("number"), docs[f"`{text}`"].alias("text"))
+    found = keep(ngrams.jaccard_components(keyed, "number", "text").groupBy("doc_id").agg(F.min("component_id").alias("copy_class")), "copy-classes")
+    keys = docs.select(key.alias("key")).distinct()
+    return keys.join(found, F.xxhash64("key") == F.col("doc_id")).select("key", "copy_class")
+
+
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """``docs`` without rejected documents, and without shared lines in those that stay; same columns."""
-    verdicts = line_frequency(docs, doc_id, text, host, **limits)
+    verdicts = line_frequency(docs, doc_id, text, host, classes=copy_classes(docs, doc_id, text, host), **limits)
     kept = verdicts.filter("kept").groupBy("key").agg(F.first("drop").alias("drop"))
     key = _key(docs, doc_id, host, text)
     return without_lines(docs, kept, key, text, how="inner")

@@ -196,3 +196,27 @@ def test_pipeline_keeps_clean_documents(spark, sf):
     links = {r.doc_id: r.component_id for r in ngrams.jaccard_components(docs).collect()}
     good = [r for r in quality.line_frequency(docs).collect() if r.kept]
     assert len(packed) >= 0.9 * len({links[r.doc_id] for r in good})
+
+
+def test_pipeline_keeps_one_of_a_large_group_of_near_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    common = "\n".join(" ".join(f"c{k}w{j}" for j in range(20)) for k in range(12))
+    near = [(i, f"{common}\nending number{i}", "h") for i in range(1, 31)]
+    spaced = [(i, common.replace("c", "d").replace(" ", " " * (i - 99)), "h") for i in range(100, 130)]
+    cased = [(None, common.replace("c", "e").replace("e0w0", "E0w0" if i else "e0w0").replace(" ", " " * (i + 1)), "g") for i in range(15)]
+    df = spark.createDataFrame(near + spaced + cased, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert quality.clean(df).count() == len(near + spaced + cased)
+    words = defaultdict(int)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        words[r.doc_id] += r.n_words
+    assert words[1] == 242 and words[100] == 240
+
+
+def test_lines_of_many_near_copy_groups_are_still_shared(spark):
+    own = [" ".join(f"d{i}w{k}" for k in range(60)) for i in range(12)]
+    banner = " ".join(f"b{k}" for k in range(20))
+    rows = [(10 * i + c, f"{own[i]}\n{banner}\ncopy{c} of {i}", "h") for i in range(12) for c in range(2)]
+    got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {10 * i + c: f"{own[i]}\ncopy{c} of {i}" for i in range(12) for c in range(2)}
