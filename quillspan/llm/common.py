@@ -39,6 +39,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Keys that a join may broadcast: each has more than the same share of all rows, so there are no more of them.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, once: DataFrame, on: str | list[str], weight: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows.join(once, on, how)`` where ``once`` has one row a key and, in ``weight``, how many rows have it.
+
+    ``n_rows`` is at least the sum of all weights.  A key with more than
+    1/HOT_KEYS of it is hot: at most HOT_KEYS rows, which are broadcast, so hot
+    rows stay where they are.  All others meet in a shuffle.
+    """
+    on = [on] if isinstance(on, str) else on
+    mark = free_name(rows, "is_hot")
+    is_hot = F.col(weight) * HOT_KEYS > n_rows
+    marked = rows.join(F.broadcast(once.filter(is_hot).withColumn(mark, F.lit(True))), on, "left")
+    direct = marked.filter(F.col(mark).isNotNull()).drop(mark)
+    others = marked.filter(F.col(mark).isNull()).select(*rows.columns).join(once.filter(~is_hot), on, how)
+    return direct.unionByName(others)
+
+
 def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rewrites the column `text` without the lines numbered in `drop`; other columns pass."""
     for batch in batches:

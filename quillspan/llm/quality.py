@@ -169,11 +169,10 @@ def line_frequency(
 
 def copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(key, copy_class): the near-copy component of each document, found by content, so ids may be null or repeated."""
-    key = _key(docs, doc_id, host, text)
-    keyed = docs.select(F.xxhash64(key).alias("number"), docs[f"`{text}`"].alias("text"))
-    found = keep(ngrams.jaccard_components(keyed, "number", "text").groupBy("doc_id").agg(F.min("component_id").alias("copy_class")), "copy-classes")
-    keys = docs.select(key.alias("key")).distinct()
-    return keys.join(found, F.xxhash64("key") == F.col("doc_id")).select("key", "copy_class")
+    found = ngrams.jaccard_components(docs, doc_id, text).select(F.col("key").alias("copy_key"), F.coalesce("component", F.xxhash64("key")).alias("copy_class"))
+    copies = row_key(docs[f"`{doc_id}`"], docs[f"`{text}`"])
+    keys = docs.select(_key(docs, doc_id, host, text).alias("key"), copies.alias("copy_key")).distinct()
+    return keys.join(keep(found.distinct(), "copy-classes"), "copy_key").select("key", "copy_class")
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillspan.llm import chat, common, exact, licenses, lines, ngrams, packing, quality, warc
+from quillspan.llm import chat, common, components, exact, licenses, lines, ngrams, packing, quality, warc
 
 WORDS = [f"w{i}" for i in range(400)]
 PROSE = " ".join(WORDS[:60])
@@ -104,6 +104,60 @@ def test_jaccard(docs, none):
     assert ngrams.jaccard_components(none).count() == 0
 
 
+def bridge():
+    base = [f"w{i}" for i in range(60)]
+    tail = [f"x{i}" for i in range(8)]
+    return [" ".join(base[k:] + tail[:k]) for k in (0, 4, 8)]
+
+
+def test_links_pass_through_documents_without_an_id(spark):
+    a, b, c = bridge()
+
+    def found(rows):
+        return sorted(((r.doc_id, r.component_id) for r in ngrams.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+
+    assert found([(1, a), (3, c)]) == [(1, 1), (3, 3)]
+    assert found([(1, a), (None, b), (3, c)]) == [(1, 1), (3, 1), (None, 1)]
+    # a repeated id with other texts
+    assert found([(5, a), (5, c), (5, b), (7, "other words stand in this one")]) == [(5, 5)] * 3 + [(7, 7)]
+
+
+def test_keep_one_keeps_one_row_a_component(spark):
+    a, b, c = bridge()
+    rows = [(2, b, "p"), (1, a, "q"), (1, a, "r"), (3, c, "s"), (None, "quite another text without any id", "t"), (None, "quite another text without any id", "u"), (9, "", "v"), (8, None, "w")]
+    got = ngrams.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept_key string"))
+    assert got.columns == ["doc_id", "text", "kept_key"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, a), (None, rows[4][1]), (9, ""), (8, None)], key=repr)
+    assert ngrams.keep_one(got.limit(0)).count() == 0
+
+
+def test_components_cut_into_small_blocks_lose_no_link(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted((r.doc_id, r.component_id) for r in ngrams.jaccard_components(docs).collect())
+    monkeypatch.setattr(ngrams, "TASK_DOCS", 4)
+    monkeypatch.setattr(ngrams, "PIVOTS", 1)
+    assert sorted((r.doc_id, r.component_id) for r in ngrams.jaccard_components(docs).collect()) == want
+
+
+def test_connected_components(spark):
+    def found(edges):
+        return {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+
+    assert found([]) == {}
+    assert found([(1, 1), (None, 2), (4, None)]) == {}
+    assert found([(i, i + 1) for i in range(40)]) == dict.fromkeys(range(41), 0)
+    assert found([(9, i) for i in range(20, 60)] + [(9, 20)]) == dict.fromkeys([9, *range(20, 60)], 9)
+    assert found([(5, 6), (6, 5), (8, 7)]) == {5: 5, 6: 5, 7: 7, 8: 7}
+
+
+def test_hot_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 12)] + [(None, 0)], "k long, is_hot long")
+    once = spark.createDataFrame([(1, "a", 50), (2, "b", 1), (3, "c", 1)], "k long, v string, n long")
+    got = sorted(map(tuple, common.join_hot(rows, once, "k", "n", 61, "left").select("k", "is_hot", "v").collect()), key=repr)
+    assert got == sorted(map(tuple, rows.join(once, "k", "left").select("k", "is_hot", "v").collect()), key=repr)
+
+
 def test_tree_links_equal_all_pairs():
     import random
 
