@@ -221,8 +221,8 @@ _ELEMENT = re.compile(r"%(E4Y|E\*S|E[1-6]S|Ez|.)")
 
 def format_datetime(pattern: str, x: Column) -> Column:
     """FORMAT_DATE / FORMAT_DATETIME / FORMAT_TIMESTAMP (in UTC) with a constant pattern."""
-    for element, whole in COMPOSITES.items():
-        pattern = re.sub(rf"(?<!%)%{element}", whole, pattern)
+    # "%%" is matched first, so its second half opens nothing
+    pattern = re.sub(r"%%|%([FTRDxXc])", lambda found: COMPOSITES[found[1]] if found[1] else found[0], pattern)
     ts, parts, at = x.cast("timestamp"), [], 0
     for found in _ELEMENT.finditer(pattern):
         parts.append(F.lit(pattern[at : found.start()]))
@@ -343,3 +343,62 @@ def add_interval(x: Column, interval: Column) -> Column:
     day = x.cast("date")
     moved = F.datediff(F.add_months(day, interval["months"].cast("int")), day).cast("long") + interval["days"]
     return add_micros(x, moved * MICROS["DAY"] + interval["micros"])
+
+
+# ---- constructors and part takers
+
+
+def datetime_of(day: Column, micros: Column) -> Column:
+    """DATETIME(date, time)."""
+    return F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + micros)
+
+
+def make_time(hour: Column, minute: Column, second: Column) -> Column:
+    """TIME(hour, minute, second)."""
+    return (hour.cast("long") * 3600 + minute * 60 + second) * 10**6
+
+
+def time_of(ts: Column) -> Column:
+    """TIME(timestamp) and EXTRACT(TIME ...)."""
+    return F.pmod(F.unix_micros(ts), F.lit(86_400 * 10**6))
+
+
+def date_of(ts: Column, zone: str = "UTC") -> Column:
+    """DATE(timestamp, zone) and EXTRACT(DATE ... AT TIME ZONE)."""
+    return F.from_utc_timestamp(ts, zone).cast("date")
+
+
+def timestamp_of(local: Column, zone: str = "UTC") -> Column:
+    """TIMESTAMP(text or date or datetime, zone)."""
+    return F.to_utc_timestamp(local.cast("timestamp"), zone)
+
+
+def format_time(pattern: str, micros: Column) -> Column:
+    return format_datetime(pattern, F.timestamp_micros(micros))
+
+
+def format_timestamp(pattern: str, ts: Column, zone: str = "UTC") -> Column:
+    """FORMAT_TIMESTAMP in a zone; the elements that name the zone are for UTC alone."""
+    if zone != "UTC" and re.search("%E?[zZ]", pattern):
+        raise ValueError("elements of the zone's name or offset are for UTC alone")
+    return format_datetime(pattern, F.from_utc_timestamp(ts, zone))
+
+
+class Clock:
+    """CURRENT_TIMESTAMP and its relatives; ``now`` (in UTC) pins them to a moment."""
+
+    def __init__(self, now: datetime.datetime | None = None):
+        self.now = now
+
+    def current_timestamp(self) -> Column:
+        return F.current_timestamp() if self.now is None else F.lit(self.now.strftime("%Y-%m-%d %H:%M:%S.%f+00:00")).cast("timestamp")
+
+    def current_datetime(self, zone: str = "UTC") -> Column:
+        return F.from_utc_timestamp(self.current_timestamp(), zone)
+
+    def current_date(self, zone: str = "UTC") -> Column:
+        return self.current_datetime(zone).cast("date")
+
+    def current_time(self, zone: str = "UTC") -> Column:
+        """Microseconds of the day."""
+        return time_of(self.current_datetime(zone))

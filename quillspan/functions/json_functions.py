@@ -33,8 +33,11 @@ def _kind(text: Column, path: str) -> Column:
 
 def json_value(text: Column, path: str = "$") -> Column:
     """A scalar as STRING; objects, arrays and JSON null give NULL."""
+    found = F.get_json_object(text, _path(path))
+    # only what looks like an object or array may be one, so other values are parsed once
     kind = _kind(text, path)
-    return F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")) | (kind == "VOID"), F.lit(None)).otherwise(F.get_json_object(text, _path(path)))
+    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    return F.when(~F.substring(found, 1, 1).isin("{", "["), found).when(~nested, found)
 
 
 def json_query(text: Column, path: str = "$") -> Column:
@@ -56,6 +59,15 @@ def json_query_array(text: Column, path: str = "$") -> Column:
     return F.when(F.startswith(_kind(text, path), F.lit("ARRAY")), F.transform(elements, lambda e: F.to_json(e)))
 
 
+#: The older names of the same functions.
+json_extract, json_extract_scalar, json_extract_array, json_extract_string_array = json_query, json_value, json_query_array, json_value_array
+
+
+def to_json(value: Column) -> Column:
+    """A value as JSON; structs keep their NULL fields."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
 def get_field(text: Column, name: str) -> Column:
     return json_query(text, f"$['{name}']")
 

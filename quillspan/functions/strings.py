@@ -21,7 +21,9 @@ def chr_(code: Column) -> Column:
 
 
 def code_points_to_string(codes: Column) -> Column:
-    return F.when(F.exists(codes, lambda c: c.isNull()), F.lit(None)).otherwise(F.array_join(F.transform(codes, chr_), ""))
+    """Any NULL code gives NULL; 0 adds nothing."""
+    data = F.unhex(F.array_join(F.transform(F.filter(codes, lambda c: c != 0), lambda c: F.lpad(F.hex(c), 8, "0")), ""))
+    return F.when(F.exists(codes, lambda c: c.isNull()), F.lit(None)).otherwise(F.decode(data, "UTF-32"))
 
 
 def code_points_to_bytes(codes: Column) -> Column:
@@ -109,8 +111,10 @@ def regexp_contains(text: Column, pattern: str) -> Column:
 
 def regexp_extract(text: Column, pattern: str, position: int = 1, occurrence: int = 1) -> Column:
     """The n-th match at or after ``position`` (its group, if the pattern has one); NULL if none."""
-    found = F.regexp_extract_all(F.substring(text, position, 1 << 30), F.lit(pattern), min(1, _groups(pattern)))
-    return F.get(found, F.lit(occurrence - 1))
+    group, rest = min(1, _groups(pattern)), text if position == 1 else F.substring(text, position, 1 << 30)
+    if occurrence == 1:  # both stop at the first match
+        return F.when(rest.rlike(pattern), F.regexp_extract(rest, pattern, group))
+    return F.get(F.regexp_extract_all(rest, F.lit(pattern), group), F.lit(occurrence - 1))
 
 
 def regexp_extract_all(text: Column, pattern: str) -> Column:
@@ -119,7 +123,7 @@ def regexp_extract_all(text: Column, pattern: str) -> Column:
 
 def regexp_instr(text: Column, pattern: str, position: int = 1, occurrence: int = 1, after: bool = False) -> Column:
     """Place of the n-th match (or behind it), 0 if there is none: the text up to the match is cut off piece by piece."""
-    start, rest = F.lit(position), F.substring(text, position, 1 << 30)
+    start, rest = F.lit(position), text if position == 1 else F.substring(text, position, 1 << 30)
     place = None
     for k in range(occurrence):
         at = F.regexp_instr(rest, F.lit(pattern))
@@ -142,7 +146,8 @@ def replace(text: Column, old: str, new: str) -> Column:
 
 
 def reverse_bytes(data: Column) -> Column:
-    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit("(..)"), 1)), ""))
+    # a character a byte
+    return F.encode(F.reverse(F.decode(data, "ISO-8859-1")), "ISO-8859-1")
 
 
 def safe_convert_bytes_to_string(data: Column) -> Column:
@@ -195,8 +200,23 @@ def normalize_and_casefold(text: Column) -> Column:
     return _casefold(text)
 
 
+def _literal(value: Column) -> Column:
+    """A value as the dialect writes it in a query: numbers and booleans bare, text quoted, dates with their type."""
+    text = value.cast("string")
+    quoted = lambda t: F.concat(F.lit('"'), t, F.lit('"'))
+    escaped = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    kind = F.typeof(value)
+    return (
+        F.when(kind == "string", quoted(escaped))
+        .when(kind == "date", F.concat(F.lit("DATE "), quoted(text)))
+        .when(kind == "timestamp", F.concat(F.lit("TIMESTAMP "), quoted(F.concat(text, F.lit("+00")))))
+        .when(kind == "timestamp_ntz", F.concat(F.lit("DATETIME "), quoted(text)))
+        .otherwise(text)
+    )
+
+
 def format_(pattern: str, *values: Column) -> Column:
-    """printf-style FORMAT with a constant pattern; %t is the plain text of a value, %T text in quotes."""
+    """printf-style FORMAT with a constant pattern; %t is the plain text of a value, %T its literal."""
     parts, at, used = [], 0, 0
     for found in re.finditer(r"%(%|([-+ #0']*)(\d*)(?:\.(\d+))?([diouxXeEfFgGsStT]))", pattern):
         parts.append(F.lit(pattern[at : found.start()]))
@@ -208,9 +228,7 @@ def format_(pattern: str, *values: Column) -> Column:
         value = values[used]
         used += 1
         if verb in "sStT":
-            text = value.cast("string")
-            if verb == "T":
-                text = F.concat(F.lit('"'), text, F.lit('"'))
+            text = _literal(value) if verb == "T" else value.cast("string")
             if digits:
                 text = F.substring(text, 1, int(digits))
             parts.append(F.format_string(f"%{flags.replace('0', '')}{width}s", text))

@@ -32,12 +32,14 @@ def count_distinct(x: Column, w: WindowSpec) -> Column:
     return F.size(F.collect_set(x).over(w)).cast("long")
 
 
-def sum_distinct(x: Column, w: WindowSpec) -> Column:
-    return F.aggregate(F.collect_set(x.cast("double")).over(w), F.lit(0.0), lambda a, b: a + b)
+def sum_distinct(x: Column, w: WindowSpec, kind: str = "bigint") -> Column:
+    """In the type ``kind``, since a sum of INT64 stays exact; NULL where no value is."""
+    values = F.collect_set(x.cast(kind)).over(w)
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast(kind), lambda a, b: a + b))
 
 
 def avg_distinct(x: Column, w: WindowSpec) -> Column:
-    return sum_distinct(x, w) / F.nullif(count_distinct(x, w), F.lit(0))
+    return sum_distinct(x, w, "double") / F.nullif(count_distinct(x, w), F.lit(0))
 
 
 def string_agg(x: Column, w: WindowSpec, delimiter: str = ",") -> Column:

@@ -88,9 +88,18 @@ class Catalog:
             if if_exists:
                 return
             raise KeyError(f"no table {full}")
+        kind = "table" if full in self._paths else "view"
         self._paths.pop(full, None)
         self._views.pop(full, None)
-        self.log.append(("table", "deleted", full))
+        self.log.append((kind, "deleted", full))
+
+    def drop_function(self, name: str, if_exists: bool = False) -> None:
+        if name not in self._functions:
+            if if_exists:
+                return
+            raise KeyError(f"no function {name}")
+        del self._functions[name]
+        self.log.append(("function", "deleted", name))
 
     def close(self) -> None:
         """Drops temporary tables."""

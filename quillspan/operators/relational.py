@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -79,3 +80,18 @@ def select_as_value(df: DataFrame, name: str = "value") -> DataFrame:
 def order_by(df: DataFrame, *keys: tuple[str, str]) -> DataFrame:
     """(column, 'asc' or 'desc'): NULLs first ascending, last descending."""
     return df.orderBy(*[F.col(c).asc_nulls_first() if way == "asc" else F.col(c).desc_nulls_last() for c, way in keys])
+
+
+def join_using(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """JOIN ... USING: the key columns come once, first, and are coalesced in outer joins."""
+    return left.join(right, names, how)
+
+
+def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """CROSS JOIN and the comma: the result is of the product's size, so one side should be small."""
+    return left.crossJoin(right)
+
+
+def unnest_left(df: DataFrame, array: Column, name: str, on: Callable[[Column], Column] | None = None) -> DataFrame:
+    """LEFT JOIN UNNEST(array) ON ...: rows without a matching element stay, with NULL."""
+    return df.withColumn(name, F.explode_outer(F.filter(array, on) if on else array))

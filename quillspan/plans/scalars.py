@@ -73,7 +73,7 @@ def text_basic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_codes(spark: SparkSession, d: str) -> DataFrame:
-    n = F.substring("text", 1, 20)
+    n = F.col("text")
     raw = F.encode(n, "UTF-8")
     return read_table(spark, d, "documents").select(
         "doc_id", strings.to_hex(raw).alias("hex"), F.decode(strings.from_hex(strings.to_hex(raw)), "UTF-8").alias("unhex"), strings.to_base64(raw).alias("b64"),
@@ -245,8 +245,8 @@ ORACLE = {
         ends_with(p_name, 'e') AS ew, left(p_name, 4) AS l, right(p_name, 4) AS r, lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS lp, rpad(p_brand, 12, '*') AS rp, trim(p_brand, 'Brand#') AS t,
         ltrim(p_brand, 'B') AS lt, rtrim(p_brand, '12345') AS rt, replace(p_name, 'a', '<a>') AS rep, repeat(left(p_name, 2), 3) AS rpt, reverse(p_name) AS rev, CAST(instr(p_name, 'e') AS INT) AS pos,
         substr(p_name, -3, 2) AS sub, translate(p_name, 'abc', 'xy') AS tr, ascii(p_name) AS asc, unicode(p_name) AS uni, contains(lower(p_name), 're') AS has FROM part""",
-    "text_codes": """SELECT doc_id, lower(hex(encode(t))) AS hex, t AS unhex, base64(encode(t)) AS b64, t AS unb64, t AS points, t AS unb32, lower(hex(encode(t))) AS twice, t AS valid, t[1] AS chr, t AS nfc
-        FROM (SELECT doc_id, substr(text, 1, 20) AS t FROM documents)""",
+    "text_codes": """SELECT doc_id, lower(hex(encode(t))) AS hex, t AS unhex, base64(encode(t)) AS b64, t AS unb64, t AS points, t AS unb32, lower(hex(encode(t))) AS twice, t AS valid, t[1] AS chr,
+        nfc_normalize(t) AS nfc FROM (SELECT doc_id, text AS t FROM documents)""",
     "text_codes_whole": """SELECT doc_id, md5(lower(hex(encode(text)))) AS hex, md5(text) AS unhex, md5(base64(encode(text))) AS b64, md5(text) AS unb64, md5(text) AS points, md5(text) AS unb32,
         md5(lower(hex(encode(text)))) AS twice, md5(text) AS valid, text[1] AS chr, md5(nfc_normalize(text)) AS nfc FROM documents""",
     "text_regexp": """SELECT doc_id, regexp_matches(text, '[0-9]{3}') AS digits, CASE WHEN regexp_matches(text, '[a-z]+ing') THEN regexp_extract(text, '([a-z]+)ing', 1) END AS stem,

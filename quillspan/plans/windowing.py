@@ -42,7 +42,7 @@ def window_aggregates(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("s_nationkey")
     x, y = F.col("s_acctbal"), F.col("s_suppkey").cast("double")
     return s.select(
-        "s_suppkey", V.count_distinct(F.floor(x / 1000), w).alias("bands"), F.round(V.sum_distinct(F.floor(x / 1000), w), 4).alias("band_sum"), F.round(V.avg_distinct(F.floor(x / 1000), w), 4).alias("band_mean"),
+        "s_suppkey", V.count_distinct(F.floor(x / 1000), w).alias("bands"), F.round(V.sum_distinct(F.floor(x / 1000), w, "double"), 4).alias("band_sum"), F.round(V.avg_distinct(F.floor(x / 1000), w), 4).alias("band_mean"),
         F.round(F.corr(x, y).over(w), 5).alias("corr"), F.round(F.stddev_pop(x).over(w), 4).alias("sd"), F.round(F.var_samp(x).over(w), 2).alias("var"), F.count_if(x > 0).over(w).alias("positive"),
         F.round(F.covar_pop(x, y).over(w), 2).alias("cov"), F.array_size(V.array_agg(x, w)).alias("n"),
     )

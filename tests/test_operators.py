@@ -79,12 +79,12 @@ def test_function_cases(spark):
         one(spark, maths.div(F.lit(1), F.lit(0)))
 
 
-def test_stream_equals_batch(spark, sf):
+def test_stream_equals_batch(spark, sf, tmp_path):
     from quillspan.streaming import events as streaming
 
     batch = spark.read.parquet(f"{sf}/events.parquet")
-    batch.write.mode("overwrite").parquet("/tmp/quillspan-events-stream")
-    live = spark.readStream.schema(batch.schema).parquet("/tmp/quillspan-events-stream")
+    batch.write.parquet(str(tmp_path / "events"))
+    live = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "events"))
     query = streaming.windowed_counts(live).writeStream.outputMode("complete").format("memory").queryName("windowed").start()
     query.processAllAvailable()
     query.stop()
@@ -121,3 +121,44 @@ def test_text_codes_read_whole_texts(spark, tmp_path):
         want = {"hex": md5(raw.hex()), "unhex": plain, "b64": md5(base64.b64encode(raw)), "unb64": plain, "points": plain, "unb32": plain, "twice": md5(raw.hex()), "valid": plain}
         assert got[i].asDict() == want | {"doc_id": i, "chr": "t", "nfc": md5(unicodedata.normalize("NFC", texts[i]))}
     assert got[3].points == md5("") and got[4].hex is None and got[4].nfc is None
+
+
+def test_format_literals_by_type(spark):
+    assert one(spark, strings.format_("%T", F.lit(5))) == "5"
+    assert one(spark, strings.format_("%T", F.lit(True))) == "true"
+    assert one(spark, strings.format_("%T", F.lit('a "b"\nc'))) == '"a \\"b\\"\\nc"'
+    assert one(spark, strings.format_("%T", F.lit("2020-01-02").cast("date"))) == 'DATE "2020-01-02"'
+
+
+def test_clock_without_a_pin_moves(spark):
+    import datetime
+
+    today = one(spark, dates.Clock().current_date())
+    assert abs((datetime.datetime.now(datetime.UTC).date() - today).days) <= 1
+    with pytest.raises(ValueError, match="UTC"):
+        dates.format_timestamp("%Z", F.current_timestamp(), "Asia/Tokyo")
+
+
+def test_catalog_drops_are_logged_by_kind(spark):
+    c = Catalog(spark, ("project", "data"))
+    c.create("t", "k long")
+    c.create_view("v", lambda: c.table("t"))
+    c.create_function("f", lambda x: x)
+    c.drop("v")
+    c.drop_function("f")
+    c.drop_function("f", if_exists=True)
+    assert ("view", "deleted", "project.data.v") in c.log and ("function", "deleted", "f") in c.log
+    with pytest.raises(KeyError):
+        c.drop_function("f")
+
+
+def test_work_tables_go_with_their_scope(spark):
+    import os
+
+    from quillspan.sources import scratch
+
+    with scratch.work_tables(spark):
+        kept = scratch.keep(spark.range(3), "scoped")
+        (path,) = [p for p in scratch._SCOPES[-1] if "scoped" in p]
+        assert kept.count() == 3 and os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
