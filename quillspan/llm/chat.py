@@ -10,6 +10,9 @@ A conversation may hold a large part of all rows, so it is never gathered in
 one task: turns are joined to participants in salted parts, and places are
 prefix sums in two steps, inside blocks of turns and over the blocks' totals.
 
+Marks inside texts and names are parted by a blank and a name's line breaks
+become blanks, so nobody's words can open a turn of another speaker.
+
 Defined cases: a null role is the participant ``unknown``; null text is empty;
 rows of a null conversation form one conversation; equal turn numbers are
 ordered by role, then text; a null turn number comes first; repeated rows are
@@ -32,13 +35,23 @@ def _header(label: Column, name: Column) -> Column:
     return F.concat(F.lit(OPEN), label, F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit(" name="), name)), F.lit("\n"))
 
 
+def _plain(text: Column) -> Column:
+    """Text that cannot open or close a turn: a blank parts the characters that begin every mark."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def _plain_name(name: Column) -> Column:
+    """A speaker's name in one line, without marks."""
+    return F.translate(_plain(name), "\r\n", "  ")
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", neutral: str = "system", salts: int = 8) -> DataFrame:
     """conv_id, perspective, turn, label, name, segment, start, mask_start, mask_stop; offsets are in characters."""
     rows = turns.select(
         turns[f"`{conv_id}`"].alias("conv_id"),
         turns[f"`{turn}`"].cast("long").alias("turn"),
         F.coalesce(turns[f"`{role}`"], F.lit("unknown")).alias("speaker"),
-        F.coalesce(turns[f"`{text}`"], F.lit("")).alias("text"),
+        _plain(F.coalesce(turns[f"`{text}`"], F.lit(""))).alias("text"),
     )
     participants = rows.filter(F.col("speaker") != neutral).select("conv_id", "speaker").distinct()
     people = participants.select(
@@ -49,7 +62,7 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
     own = F.col("speaker") == F.col("perspective")
     label = F.when(F.col("speaker") == neutral, F.lit(neutral)).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    name = F.when((F.col("speaker") != neutral) & ~own, F.col("speaker"))
+    name = F.when((F.col("speaker") != neutral) & ~own, _plain_name(F.col("speaker")))
     placed = (
         seen.select("conv_id", "perspective", "turn", "speaker", "text", label.alias("label"), name.alias("name"), F.floor(F.col("turn") / BLOCK).alias("block"))
         .withColumn("header", _header(F.col("label"), F.col("name")))
@@ -81,11 +94,11 @@ def op5_perspectives(spark, sf_dir: str) -> DataFrame:
 QUERIES = {"op5_perspectives": op5_perspectives}
 ORACLE = {
     "op5_perspectives": """
-WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id AS pc, speaker AS perspective FROM c WHERE speaker <> 'system'),
 s AS (SELECT conv_id, perspective, turn, speaker, text,
              CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS label,
-             CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
+             CASE WHEN speaker <> 'system' AND speaker <> perspective THEN translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') END AS name
       FROM c JOIN p ON conv_id IS NOT DISTINCT FROM pc),
 h AS (SELECT *, '<|im_start|>' || label || CASE WHEN name IS NULL THEN '' ELSE ' name=' || name END || chr(10) AS header FROM s),
 g AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM h),

@@ -5,7 +5,9 @@ of the same grams in a small table of license templates.  A run of hits with
 the same offset (text position minus template position) is a diagonal; hits
 are counted per diagonal, neighbouring diagonals of one template are merged
 into spans (they differ where words were put in or left out), and a span is
-accepted when its hits, checked by their words, cover enough of the template.
+accepted when its hits cover enough of the template.  A hash alone makes no
+hit: all words of the gram are compared with the template's, so what a span
+covers stands in the text word for word.
 
 Two gram sizes are in use: 2 for short phrases, where a full diagonal is a
 place at which the phrase stands word for word, and 4 for longer passages.
@@ -48,8 +50,8 @@ PASSAGES = {
 }
 
 PHRASE_GRAM, PASSAGE_GRAM = 2, 4
-#: Hash key of the row that carries a document's word count through the join.
-_COUNT_ROW = -1
+#: Stands for the gram of a document's word count: no gram of words has these characters.
+_COUNT_ROW = "#"
 
 
 def words_of(text: Column) -> Column:
@@ -61,50 +63,35 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _gram(words, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *words)
-
-
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(gram, template, label, base, offset, n_grams, first_word, last_word): a few hundred constant rows."""
+    """(gram, gram_text, template, label, base, offset, n_grams): a few hundred constant rows."""
     rows = []
     for templates, size, base in ((PHRASES, PHRASE_GRAM, True), (PASSAGES, PASSAGE_GRAM, False)):
         for template, label in templates.items():
             words = template.split()
             n = len(words) - size + 1
-            rows += [(size, words[i : i + size], template, label, base, i, n) for i in range(n)]
-    table = spark.createDataFrame(rows, "size int, words array<string>, template string, label string, base boolean, offset int, n_grams int")
-    two = _gram([F.get("words", F.lit(i)) for i in range(PHRASE_GRAM)], PHRASE_GRAM)
-    four = _gram([F.get("words", F.lit(i)) for i in range(PASSAGE_GRAM)], PASSAGE_GRAM)
-    grams = table.select(
-        F.when(F.col("size") == PHRASE_GRAM, two).otherwise(four).alias("gram"),
-        "template", "label", "base", "offset", "n_grams",
-        F.get("words", F.lit(0)).alias("first_word"), F.element_at("words", -1).alias("last_word"),
-    )
-    counts = table.limit(1).select(
-        F.lit(_COUNT_ROW).cast("long").alias("gram"), F.lit("").alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"),
-        F.lit(0).alias("offset"), F.lit(0).alias("n_grams"), F.lit("").alias("first_word"), F.lit("").alias("last_word"),
-    )
-    return grams.unionAll(counts)
+            rows += [(" ".join(words[i : i + size]), template, label, base, i, n) for i in range(n)]
+    # the row that carries a document's word count through the join
+    rows.append((_COUNT_ROW, "", None, False, 0, 0))
+    table = spark.createDataFrame(rows, "gram_text string, template string, label string, base boolean, offset int, n_grams int")
+    return table.withColumn("gram", F.xxhash64("gram_text"))
 
 
 def gram_hits(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Hits of all rolling grams of all documents on the template table, one word-count row a document included."""
 
     def rolling(words: Column, size: int) -> Column:
-        def one(word: Column, i: Column) -> Column:
-            following = [F.get(words, i + k) for k in range(1, size)]
-            return F.struct(_gram([word, *following], size).alias("gram"), i.alias("at"), word.alias("first"), F.coalesce(following[-1], F.lit("")).alias("last"))
-
-        return F.transform(words, one)
+        # beyond the last word there is null, which is left out: such grams are too short for any template
+        texts = F.transform(words, lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, size)]))
+        return F.transform(texts, lambda gram, i: F.struct(F.xxhash64(gram).alias("gram"), i.alias("at"), gram.alias("text")))
 
     tokens = docs.select(
         F.monotonically_increasing_id().alias("row"), docs[f"`{doc_id}`"].alias("doc_id"), words_of(docs[f"`{text}`"]).alias("words")
     )
-    own = F.array(F.struct(F.lit(_COUNT_ROW).cast("long").alias("gram"), F.size("words").alias("at"), F.lit("").alias("first"), F.lit("").alias("last")))
+    own = F.array(F.struct(F.xxhash64(F.lit(_COUNT_ROW)).alias("gram"), F.size("words").alias("at"), F.lit(_COUNT_ROW).alias("text")))
     grams = tokens.select("row", "doc_id", F.explode(F.concat(own, rolling(F.col("words"), PHRASE_GRAM), rolling(F.col("words"), PASSAGE_GRAM))).alias("g"))
-    flat = grams.select("row", "doc_id", "g.gram", "g.at", "g.first", "g.last")
-    return flat.join(F.broadcast(template_grams(docs.sparkSession)), "gram").filter("first = first_word AND last = last_word")
+    flat = grams.select("row", "doc_id", "g.gram", "g.at", "g.text")
+    return flat.join(F.broadcast(template_grams(docs.sparkSession)), "gram").filter("text = gram_text").drop("text", "gram_text")
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_cover: float = 0.8, max_shift: int = 3) -> DataFrame:

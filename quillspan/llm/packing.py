@@ -40,10 +40,10 @@ PLACED = "doc_id long, piece int, n_words long, bin_id long, bin_offset long, so
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, clusters = [], []
-        for text in batch.column(2).to_pylist():
-            words = text.split()
+        for text, cluster in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            words = text.as_py().split()
             n.append(len(words))
-            clusters.append(xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - (1 << 63))
+            clusters.append(cluster if cluster is not None else xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - (1 << 63))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(clusters, pa.int64())], names=["doc_id", "source", "n_words", "cluster"])
 
 
@@ -83,9 +83,15 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return bins, offsets
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048) -> DataFrame:
-    """doc_id, piece, n_words, bin_id, bin_offset, source, cluster: one row a piece."""
-    narrow = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{source}`"].cast("string").alias("source"), binary_text(docs[f"`{text}`"]).alias("text"))
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = 2048, cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, n_words, bin_id, bin_offset, source, cluster: one row a piece.
+
+    ``cluster`` names a column of duplicate clusters (whole numbers), such as
+    the components of operator 10; where it is missing or null, documents with
+    the same words are a cluster.
+    """
+    given = F.lit(None) if cluster is None else docs[f"`{cluster}`"]
+    narrow = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{source}`"].cast("string").alias("source"), binary_text(docs[f"`{text}`"]).alias("text"), given.cast("long").alias("cluster"))
     sized = keep(narrow.mapInArrow(_sizes, SIZES), "sizes")
     n_pieces = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_words") / capacity))
     pieces = sized.select("doc_id", "source", "cluster", "n_words", F.explode(F.sequence(F.lit(0), (n_pieces - 1).cast("int"))).alias("piece")).withColumn(
