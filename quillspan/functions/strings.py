@@ -22,8 +22,9 @@ def chr_(code: Column) -> Column:
 
 def code_points_to_string(codes: Column) -> Column:
     """Any NULL code gives NULL; 0 adds nothing."""
-    data = F.unhex(F.array_join(F.transform(F.filter(codes, lambda c: c != 0), lambda c: F.lpad(F.hex(c), 8, "0")), ""))
-    return F.when(F.exists(codes, lambda c: c.isNull()), F.lit(None)).otherwise(F.decode(data, "UTF-32"))
+    data = F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 8, "0")), ""))
+    whole = F.size(F.array_compact(codes)) == F.size(codes)
+    return F.when(whole, F.translate(F.decode(data, "UTF-32"), "\x00", ""))
 
 
 def code_points_to_bytes(codes: Column) -> Column:
