@@ -51,13 +51,13 @@ from quillspan.llm.common import binary_text
 from quillspan.sources.scratch import keep_bucketed
 
 #: A batch holds at most so many text bytes (a longer document is a batch of its own) and documents.
-BATCH_BYTES, BATCH_DOCS = 24 << 20, 20_000
+BATCH_BYTES, BATCH_DOCS = 12 << 20, 20_000
 #: Documents that share a row of the work table, as short sequences hardly compress alone.
 ROW_DOCS = 64
 #: Words are dealt by hash to so many groups, in blocks of so many input partitions.
 GROUPS, BLOCK = 256, 1024
 #: Distinct words whose ids wait for each other before they are packed by batch.
-HELD_WORDS = 100_000
+HELD_WORDS = 40_000
 #: Longer words are folded in blocks of ``BLOCK_PIECES`` pieces.
 FLAT, BLOCK_PIECES = 96, 16
 #: Buckets of the literal rank map, hardly ever more than two entries each: a map literal is searched from its start.
@@ -283,6 +283,8 @@ def batch_table(docs: DataFrame, doc_id: str, text: str, splitter, ordered: bool
                 text = text.as_py()
                 if not held.takes(len(text)):
                     yield _batch_rows(number, held, ordered)
+                    # workers live on between tasks; what a batch needed goes back to the machine
+                    pa.default_memory_pool().release_unused()
                     held, number = Batch(split), number + 1
                 held.add(doc_id, text)
         if held.ids:
