@@ -7,8 +7,12 @@ the rendered text and the span that a loss mask leaves on: the assistant's
 words and the end mark.
 
 A conversation may hold a large part of all rows, so it is never gathered in
-one task: turns are joined to participants in salted parts, and places are
-prefix sums in two steps, inside blocks of turns and over the blocks' totals.
+one task: turns are dealt in order to ranges of about equal size, as a work
+table, and each range of a conversation is a block.  Participants are joined
+block by block, and places are prefix sums in two steps, inside blocks and
+over the blocks' totals.  Neither depends on the turn numbers, which may all
+be equal or null; only turns with equal number, speaker and first characters
+(``RANGE_CHARS``, which only deal the rows) are never parted.
 
 Marks inside texts and names are parted by a blank and a name's line breaks
 become blanks, so nobody's words can open a turn of another speaker.
@@ -26,8 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Turns in a block of the two-step prefix sum.
-BLOCK = 256
+from quillspan.sources.scratch import keep
+
+#: Characters of a text that are part of the range key, whose sample goes to the driver; the order itself takes whole texts.
+RANGE_CHARS = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -45,7 +51,7 @@ def _plain_name(name: Column) -> Column:
     return F.translate(_plain(name), "\r\n", "  ")
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", neutral: str = "system", salts: int = 8) -> DataFrame:
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", neutral: str = "system") -> DataFrame:
     """conv_id, perspective, turn, label, name, segment, start, mask_start, mask_stop; offsets are in characters."""
     rows = turns.select(
         turns[f"`{conv_id}`"].alias("conv_id"),
@@ -53,30 +59,31 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.coalesce(turns[f"`{role}`"], F.lit("unknown")).alias("speaker"),
         _plain(F.coalesce(turns[f"`{text}`"], F.lit(""))).alias("text"),
     )
-    participants = rows.filter(F.col("speaker") != neutral).select("conv_id", "speaker").distinct()
-    people = participants.select(
-        F.col("conv_id").alias("conv_"), F.col("speaker").alias("perspective"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_")
-    )
-    salted = rows.withColumn("salt", F.pmod(F.hash("turn", "text"), F.lit(salts)))
-    seen = salted.join(people, F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("salt") == F.col("salt_")))
+    ranges = rows.repartitionByRange("conv_id", F.col("turn").asc_nulls_first(), "speaker", F.substring("text", 1, RANGE_CHARS))
+    dealt = keep(ranges.withColumn("block", F.spark_partition_id()), "turns")
+    participants = dealt.filter(F.col("speaker") != neutral).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    # a conversation has at most as many blocks as there are partitions
+    blocks = dealt.select(F.col("conv_id").alias("of_conv"), F.col("block").alias("of_block")).distinct()
+    people = blocks.join(participants, F.col("of_conv").eqNullSafe(F.col("conv_id"))).select("of_conv", "of_block", "perspective")
+    seen = dealt.join(people, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("block") == F.col("of_block")))
 
     own = F.col("speaker") == F.col("perspective")
     label = F.when(F.col("speaker") == neutral, F.lit(neutral)).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when((F.col("speaker") != neutral) & ~own, _plain_name(F.col("speaker")))
     placed = (
-        seen.select("conv_id", "perspective", "turn", "speaker", "text", label.alias("label"), name.alias("name"), F.floor(F.col("turn") / BLOCK).alias("block"))
+        seen.select("conv_id", "perspective", "turn", "speaker", "text", label.alias("label"), name.alias("name"), "block")
         .withColumn("header", _header(F.col("label"), F.col("name")))
         .withColumn("segment", F.concat("header", "text", F.lit(CLOSE)))
     )
     size = F.length("segment").cast("long")
     totals = placed.groupBy("conv_id", "perspective", "block").agg(F.sum(size).alias("chars"))
-    before = W.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(
         F.col("conv_id").alias("conv_"), F.col("perspective").alias("perspective_"), F.col("block").alias("block_"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("base")
     )
     inside = W.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("within", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    same = F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("perspective") == F.col("perspective_")) & F.col("block").eqNullSafe(F.col("block_"))
+    same = F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("perspective") == F.col("perspective_")) & (F.col("block") == F.col("block_"))
     trained = F.col("label") == "assistant"
     start = F.col("base") + F.col("within")
     return placed.join(totals, same).select(
