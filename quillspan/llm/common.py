@@ -43,6 +43,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
 HOT_KEYS = 10_000
 
 
+def is_hot(weight: str, n_rows: int) -> Column:
+    """Whether a key with ``weight`` of ``n_rows`` rows has more than its share."""
+    return F.col(weight) * HOT_KEYS > n_rows
+
+
 def join_hot(rows: DataFrame, once: DataFrame, on: str | list[str], weight: str, n_rows: int, how: str = "inner") -> DataFrame:
     """``rows.join(once, on, how)`` where ``once`` has one row a key and, in ``weight``, how many rows have it.
 
@@ -52,10 +57,10 @@ def join_hot(rows: DataFrame, once: DataFrame, on: str | list[str], weight: str,
     """
     on = [on] if isinstance(on, str) else on
     mark = free_name(rows, "is_hot")
-    is_hot = F.col(weight) * HOT_KEYS > n_rows
-    marked = rows.join(F.broadcast(once.filter(is_hot).withColumn(mark, F.lit(True))), on, "left")
+    hot = is_hot(weight, n_rows)
+    marked = rows.join(F.broadcast(once.filter(hot).withColumn(mark, F.lit(True))), on, "left")
     direct = marked.filter(F.col(mark).isNotNull()).drop(mark)
-    others = marked.filter(F.col(mark).isNull()).select(*rows.columns).join(once.filter(~is_hot), on, how)
+    others = marked.filter(F.col(mark).isNull()).select(*rows.columns).join(once.filter(~hot), on, how)
     return direct.unionByName(others)
 
 

@@ -7,9 +7,10 @@ occurrences cover are removed.  Overlapping repeats merge, as a document's
 covered line numbers are united before they are cut.
 
 Only hashes and line numbers are shuffled by window.  Counting is combined on
-the map side, so a passage in a third of all documents is one row a task; the
-join that brings first occurrences back to the windows leaves hot windows to
-adaptive skew splitting.
+the map side, so a passage in a third of all documents is one row a task.  The
+join that brings first occurrences back to the windows keeps the rows of hot
+windows where they are and broadcasts those windows' first occurrences, of
+which there is a fixed number at most (``common.HOT_KEYS``).
 
 Defined cases: null text has no lines and stays null; documents of fewer than
 three lines with a word are unchanged; lines without a word are skipped when
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import binary_text, row_key, without_lines
+from quillspan.llm.common import binary_text, join_hot, row_key, without_lines
 from quillspan.sources.scratch import keep
 
 WINDOW = 3
@@ -62,8 +63,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     windows = per_doc.select("key", "doc_id", F.explode(F.arrays_zip("windows", "at")).alias("w")).select(
         "key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", F.col("w.at").alias("at")).alias("place"), F.col("w.windows").alias("window")
     )
-    repeated = windows.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last").select("window", "first")
-    later = windows.join(repeated, "window").filter(F.col("place") != F.col("first"))
+    counted = windows.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("times"))
+    repeated = keep(counted.filter("first <> last").select("window", "first", "times"), "repeated-windows")
+    n_windows = per_doc.agg(F.sum(F.size("at"))).first()[0] or 0
+    later = join_hot(windows, repeated, "window", "times", n_windows).filter(F.col("place") != F.col("first"))
     covered = F.when(F.col("first.key") == F.col("key"), F.array_except("place.at", "first.at")).otherwise(F.col("place.at"))
     return (
         later.select("key", F.explode(covered).alias("number"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import ngrams
-from quillspan.llm.common import ASCII_SPACE, binary_text, row_key, without_lines
+from quillspan.llm.common import ASCII_SPACE, binary_text, is_hot, join_hot, row_key, without_lines
 from quillspan.sources.scratch import keep
 
 #: Fixed value: the characters that count as symbols.
@@ -100,7 +100,6 @@ def line_frequency(
     share: float = 0.05,
     min_left: float = 0.3,
     min_words: int = 50,
-    salts: int = 16,
     classes: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics, boilerplate line numbers and verdict of every document.
@@ -112,41 +111,42 @@ def line_frequency(
 
     The text is read once: what the counts need is written as a narrow work
     table.  Hot lines (in a third of all documents) are pre-aggregated before
-    the shuffle that counts them, and the join that brings the few lines over
-    the limit back to their documents is salted.
+    the shuffle that counts them.  In the join that brings the lines over the
+    limit back to their documents, a hot line's rows stay where they are.
     """
     narrow = docs.select(
         _key(docs, doc_id, host, text).alias("key"),
         docs[f"`{doc_id}`"].cast("long").alias("doc_id"),
-        docs[f"`{host}`"].cast("string").alias("host"),
+        # never null, so that a null host is a host like others in every join
+        F.coalesce(F.concat(F.lit("="), docs[f"`{host}`"].cast("string")), F.lit("")).alias("host"),
         binary_text(docs[f"`{text}`"]).alias("text"),
     )
     base = keep(narrow.mapInArrow(_measure_batches, MEASURES), "quality")
 
+    once = F.first("line_hashes").alias("line_hashes"), F.count("*").alias("copies")
     if classes is None:
-        distinct = base.groupBy("host", "text_hash").agg(F.first("line_hashes").alias("line_hashes"))
-        lines_of = distinct.select("host", F.explode(F.array_distinct("line_hashes")).alias("line"))
+        distinct = base.groupBy("host", "text_hash").agg(*once)
+        lines_of = distinct.select("host", F.explode(F.array_distinct("line_hashes")).alias("line"), "copies")
         documents = base.select("host", "text_hash").distinct()
     else:
         of_class = base.join(classes, "key").select("host", "copy_class", "text_hash", "line_hashes")
-        distinct = of_class.groupBy("host", "copy_class", "text_hash").agg(F.first("line_hashes").alias("line_hashes"))
-        lines_of = distinct.select("host", "copy_class", F.explode(F.array_distinct("line_hashes")).alias("line")).distinct()
+        distinct = of_class.groupBy("host", "copy_class", "text_hash").agg(*once)
+        of_texts = distinct.select("host", "copy_class", F.explode(F.array_distinct("line_hashes")).alias("line"), "copies")
+        lines_of = of_texts.groupBy("host", "copy_class", "line").agg(F.sum("copies").alias("copies"))
         documents = of_class.select("host", "copy_class").distinct()
-    counts = lines_of.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    counts = lines_of.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.sum("copies").alias("weight"))
     hosts = documents.groupBy("host").agg(F.count("*").alias("host_docs"))
-    over = (
-        counts.join(hosts.select(F.col("host").alias("host_"), "host_docs"), F.col("host").eqNullSafe(F.col("host_")))
-        .filter(F.col("n_docs") > F.lit(share) * F.col("host_docs"))
-        .select(F.col("host").alias("host_"), F.col("line").alias("line_"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_"))
+    n_lines = base.agg(F.sum(F.size("line_words"))).first()[0] or 0
+    is_over = (F.col("n_docs") > min_docs) & (F.col("n_docs") > F.lit(share) * F.col("host_docs"))
+    # hot lines within the limit are there too, so that their rows do not meet in one task for nothing
+    judged = counts.filter((F.col("n_docs") > min_docs) | is_hot("weight", n_lines)).join(hosts, "host").withColumn("is_over", is_over)
+    judged = keep(judged.filter(F.col("is_over") | is_hot("weight", n_lines)).select("host", "line", "weight", "is_over"), "judged-lines")
+    lines = base.select("key", "host", F.explode(F.arrays_zip("line_hashes", "line_words", "line_numbers")).alias("l")).select(
+        "key", "host", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"), F.col("l.line_numbers").alias("number")
     )
-    lines = (
-        base.select("key", "host", F.explode(F.arrays_zip("line_hashes", "line_words", "line_numbers")).alias("l"))
-        .select("key", "host", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"), F.col("l.line_numbers").alias("number"))
-        .withColumn("salt", F.pmod(F.hash("key"), F.lit(salts)))
-    )
-    on = F.col("host").eqNullSafe(F.col("host_")) & (F.col("line") == F.col("line_")) & (F.col("salt") == F.col("salt_"))
     hits = (
-        lines.join(over, on)
+        join_hot(lines, judged, ["host", "line"], "weight", n_lines)
+        .filter("is_over")
         .groupBy("key")
         .agg(F.collect_set(F.struct("number", "words")).alias("hits"))
         .select(
