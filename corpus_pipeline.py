@@ -40,7 +40,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express best-fit packing or the components; tests check the operators, and of the run only ids, how many stay, and single groups.
+#: SQL cannot express best-fit packing or the components; tests compare every stage, and the run, with brute force.
 ORACLE_SQL = None
 
 
