@@ -1,8 +1,11 @@
 """Tables, views and functions of a session, with a log of what changed.
 
-A table is a folder of Parquet files.  DML writes the new rows to a new folder
-of the shared root and then points the name at it, so readers of the old
-version are not disturbed and a failed write leaves the table as it was.
+A table is a list of Parquet files in the shared root.  Files are never
+changed: INSERT adds files, and UPDATE, DELETE and MERGE first look which files
+hold a row that they hit and write only those anew.  The name then points at
+the new list, so readers of the old version are not disturbed and a failed
+write leaves the table as it was.  ``expire`` deletes files that only old
+versions have.
 """
 
 from __future__ import annotations
@@ -10,19 +13,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.operators import changes
-from quillspan.sources.scratch import new_folder
+from quillspan.sources.scratch import discard, new_folder
 from quillspan.sources.tables import wildcard_table
 
+#: The column of file names while hits are looked for.
+_FILE = "name of the file"
+
 
 class Catalog:
     """Names are paths such as ``project.dataset.table``; a prefix completes shorter ones."""
 
     def __init__(self, spark: SparkSession, name_path: tuple[str, ...] = ()):
         self.spark, self.name_path = spark, name_path
-        self._paths: dict[str, tuple[str, T.StructType]] = {}
+        self._paths: dict[str, tuple[list[str], T.StructType]] = {}
+        self._retired: list[str] = []
         self._views: dict[str, Callable[[], DataFrame]] = {}
         self._functions: dict[str, Callable[..., Column]] = {}
         self._temporary: set[str] = set()
@@ -41,17 +49,27 @@ class Catalog:
             return self._views[full]()
         if full not in self._paths:
             raise KeyError(f"no table {full}")
-        path, schema = self._paths[full]
-        return self.spark.read.schema(schema).parquet(path)
+        return self._read(*self._paths[full])
+
+    def _read(self, files: list[str], schema: T.StructType) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*files)
 
     def wildcard(self, prefix: str, suffixes: set[str] | None = None) -> DataFrame:
         full = self._full(prefix)
         return wildcard_table({n: self.table(n) for n in self._paths if n.startswith(full)}, full, suffixes)
 
-    def _store(self, full: str, rows: DataFrame, schema: T.StructType) -> None:
+    def _store(self, full: str, rows: DataFrame, schema: T.StructType, stay: list[str]) -> None:
+        """The table is the files ``stay`` and the new rows from here on."""
         path = new_folder(self.spark, "table")
         rows.select(*[rows[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema]).write.parquet(path)
-        self._paths[full] = (path, schema)
+        self._point(full, stay + self.spark.read.schema(schema).parquet(path).inputFiles(), schema)
+
+    def _point(self, full: str, files: list[str], schema: T.StructType) -> None:
+        before, _ = self._paths.get(full, ([], schema))
+        self._retired += sorted(set(before) - set(files))
+        self._paths[full] = (files, schema)
 
     def create(self, name: str, definition: DataFrame | str | T.StructType, or_replace: bool = False, if_not_exists: bool = False, temporary: bool = False) -> None:
         """CREATE TABLE with a schema, or AS SELECT with a DataFrame."""
@@ -62,7 +80,7 @@ class Catalog:
             raise ValueError(f"table {full} exists")
         rows = definition if isinstance(definition, DataFrame) else self.spark.createDataFrame([], definition)
         kind = "updated" if full in self._paths else "added"
-        self._store(full, rows, rows.schema)
+        self._store(full, rows, rows.schema, [])
         if temporary:
             self._temporary.add(full)
         self.log.append(("table", kind, full))
@@ -89,7 +107,8 @@ class Catalog:
                 return
             raise KeyError(f"no table {full}")
         kind = "table" if full in self._paths else "view"
-        self._paths.pop(full, None)
+        files, _ = self._paths.pop(full, ([], None))
+        self._retired += files
         self._views.pop(full, None)
         self.log.append((kind, "deleted", full))
 
@@ -106,22 +125,45 @@ class Catalog:
         for full in sorted(self._temporary & set(self._paths)):
             self.drop(full)
 
-    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    def expire(self) -> int:
+        """Deletes the files that no table has any more, and returns their number; readers of old versions must be done."""
+        retired, self._retired = self._retired, []
+        for file in retired:
+            discard(self.spark, file)
+        return len(retired)
+
+    def _rewrite(self, name: str, hits: Callable[[DataFrame], DataFrame] | None, change: Callable[[DataFrame], DataFrame]) -> None:
+        """``change`` on the files that have a row of ``hits``; on all where that is None."""
         full = self._full(name)
-        self._store(full, change(self.table(full)), self._paths[full][1])
+        files, schema = self._paths[full]
+        touched = files
+        if hits is not None and files:
+            marked = self._read(files, schema).select("*", F.col("_metadata.file_name").alias(_FILE))
+            # one row a file
+            hit = {row[0] for row in hits(marked).select(_FILE).distinct().collect()}
+            touched = [f for f in files if f.rsplit("/", 1)[1] in hit]
+        self._store(full, change(self._read(touched, schema)), schema, [f for f in files if f not in set(touched)])
         self.log.append(("table", "updated", full))
 
     def insert(self, name: str, rows: DataFrame) -> None:
-        self._change(name, lambda t: changes.insert(t, rows))
+        full = self._full(name)
+        files, schema = self._paths[full]
+        self._store(full, changes.insert(self.spark.createDataFrame([], schema), rows), schema, files)
+        self.log.append(("table", "updated", full))
 
     def update(self, name: str, assignments: dict[str, Column], where: Column) -> None:
-        self._change(name, lambda t: changes.update(t, assignments, where))
+        self._rewrite(name, lambda t: t.filter(where), lambda t: changes.update(t, assignments, where))
 
     def delete(self, name: str, where: Column) -> None:
-        self._change(name, lambda t: changes.delete(t, where))
+        self._rewrite(name, lambda t: t.filter(where), lambda t: changes.delete(t, where))
 
     def truncate(self, name: str) -> None:
-        self._change(name, lambda t: t.limit(0))
+        full = self._full(name)
+        self._point(full, [], self._paths[full][1])
+        self.log.append(("table", "updated", full))
 
     def merge(self, name: str, source: DataFrame, key: str, clauses: list[changes.When]) -> None:
-        self._change(name, lambda t: changes.merge(t, source, key, clauses))
+        """Files without a matched row stay, unless a clause is about rows that the source lacks."""
+        every = any(clause.kind == "not_matched_by_source" for clause in clauses)
+        matched = lambda t: t.join(source.select(key), key, "left_semi")
+        self._rewrite(name, None if every else matched, lambda t: changes.merge(t, source, key, clauses))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,8 +46,9 @@ def merge(target: DataFrame, source: DataFrame, key: str, clauses: list[When]) -
     raised when it is read.
     """
     t = target.withColumn("in_t", F.lit(True)).alias("t")
-    per_key = source.groupBy(key).agg(F.count("*").alias("n_same")).withColumnRenamed(key, "key_")
-    s = source.join(per_key, F.col(key) == F.col("key_")).drop("key_").withColumn("in_s", F.lit(True)).alias("s")
+    # counted where the join deals the rows to anyway; a null key matches nothing and its row stays
+    n_same = F.count("*").over(W.partitionBy(key))
+    s = source.withColumn("n_same", n_same).withColumn("in_s", F.lit(True)).alias("s")
     both = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full")
     matched, only_s, only_t = F.col("in_t") & F.col("in_s"), F.col("in_t").isNull(), F.col("in_s").isNull()
     kinds = {"matched": matched, "not_matched": only_s, "not_matched_by_source": only_t}

@@ -152,6 +152,37 @@ def test_catalog_drops_are_logged_by_kind(spark):
         c.drop_function("f")
 
 
+def test_changes_touch_only_files_with_hits(spark):
+    import os
+
+    c = Catalog(spark)
+    c.create("t", "k long, v string")
+    for k in (1, 2, 3):
+        c.insert("t", spark.createDataFrame([(k, "old")], "k long, v string").coalesce(1))
+    rows = lambda: sorted(map(tuple, c.table("t").collect()))
+    of = lambda: {r.k: r.file for r in c.table("t").select("k", F.col("_metadata.file_name").alias("file")).collect()}
+    first, old_version = of(), c.table("t")
+    c.update("t", {"v": F.lit("new")}, F.col("k") == 2)
+    second = of()
+    assert rows() == [(1, "old"), (2, "new"), (3, "old")]
+    assert second[1] == first[1] and second[3] == first[3] and second[2] != first[2]
+    assert old_version.filter("v = 'old'").count() == 3
+    clauses = [changes.When("matched", "update", {"v": F.col("s.v")}), changes.When("not_matched", "insert", {"k": F.col("s.k"), "v": F.col("s.v")})]
+    c.merge("t", spark.createDataFrame([(3, "merged"), (4, "added"), (None, "none")], "k long, v string"), "k", clauses)
+    assert sorted(map(tuple, c.table("t").collect()), key=repr) == [(1, "old"), (2, "new"), (3, "merged"), (4, "added"), (None, "none")]
+    assert of()[1] == first[1] and of()[2] == second[2]
+    c.delete("t", F.col("k") > 9)
+    assert of()[1] == first[1] and c.table("t").count() == 5
+    c.merge("t", spark.createDataFrame([(1, "x")], "k long, v string"), "k", [changes.When("not_matched_by_source", "delete")])
+    assert rows() == [(1, "old")]
+    assert c.expire() > 0 and c.expire() == 0
+    assert rows() == [(1, "old")] and all(os.path.exists(f.removeprefix("file:")) for f in c.table("t").inputFiles())
+    c.truncate("t")
+    assert rows() == [] and c.table("t").columns == ["k", "v"]
+    c.insert("t", spark.createDataFrame([("y",)], "v string"))
+    assert rows() == [(None, "y")]
+
+
 def test_work_tables_go_with_their_scope(spark):
     import os
 
