@@ -54,6 +54,17 @@ def min_by_having(x: Column, key: Column) -> Column:
     return F.min_by(x, key)
 
 
+def having_extreme(df: DataFrame, keys: list[str], by: str, aggregates: dict[str, Column], largest: bool = True) -> DataFrame:
+    """``AGG(x HAVING MAX by)`` (or MIN), for any aggregates: over the rows with the extreme ``by`` of their group.
+
+    Groups are first aggregated by ``by`` as well, so no group is collected.  Rows with a NULL ``by`` do not count.
+    """
+    pick = F.max_by if largest else F.min_by
+    by_value = df.filter(F.col(f"`{by}`").isNotNull()).groupBy(*keys, by).agg(*[a.alias(n) for n, a in aggregates.items()])
+    best = by_value.groupBy(*keys).agg(pick(F.struct(*aggregates), F.col(f"`{by}`")).alias("best"))
+    return best.select(*keys, "best.*")
+
+
 def approx_quantiles(x: Column, n: int, accuracy: int = 10_000) -> Column:
     """n + 1 bounds, smallest and largest included."""
     return F.percentile_approx(x, [i / n for i in range(n + 1)], accuracy)

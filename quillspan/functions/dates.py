@@ -338,6 +338,27 @@ def justify_interval(interval: Column) -> Column:
     return justify_days(justify_hours(interval))
 
 
+def interval_extract(part: str, interval: Column) -> Column:
+    """EXTRACT from an interval, toward zero: months give YEAR and MONTH, the time HOUR to MICROSECOND."""
+    if part in ("YEAR", "MONTH"):
+        years, months = _carry(interval["months"], 12)
+        return years if part == "YEAR" else months
+    if part == "DAY":
+        return interval["days"]
+    within = {"HOUR": None, "MINUTE": "HOUR", "SECOND": "MINUTE", "MILLISECOND": "SECOND", "MICROSECOND": "SECOND"}
+    micros = interval["micros"] if within[part] is None else interval["micros"] % MICROS[within[part]]
+    return _carry(micros, MICROS[part])[0]
+
+
+def interval_negate(interval: Column) -> Column:
+    return _interval(-interval["months"], -interval["days"], -interval["micros"])
+
+
+def date_minus(a: Column, b: Column) -> Column:
+    """DATE - DATE: an interval of days."""
+    return make_interval(days=F.datediff(a, b))
+
+
 def add_interval(x: Column, interval: Column) -> Column:
     """Months first (clamped), then days, then time."""
     day = x.cast("date")

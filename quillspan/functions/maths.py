@@ -26,6 +26,14 @@ def log(x: Column, base: Column | None = None) -> Column:
     return F.ln(x) if base is None else F.ln(x) / F.ln(base)
 
 
+def power(x: Column, y: Column) -> Column:
+    return F.pow(x, y)
+
+
+def ceiling(x: Column) -> Column:
+    return ceil(x)
+
+
 def trunc(x: Column, digits: int = 0) -> Column:
     """Toward zero, at ``digits`` decimals."""
     scale = F.lit(10.0**digits)

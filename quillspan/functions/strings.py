@@ -151,6 +151,32 @@ def reverse_bytes(data: Column) -> Column:
     return F.encode(F.reverse(F.decode(data, "ISO-8859-1")), "ISO-8859-1")
 
 
+def length_bytes(data: Column) -> Column:
+    return F.octet_length(data)
+
+
+def lpad_bytes(data: Column, length: int, pad: bytes = b" ") -> Column:
+    """Longer values are cut to ``length`` bytes."""
+    return F.lpad(data, length, pad)
+
+
+def rpad_bytes(data: Column, length: int, pad: bytes = b" ") -> Column:
+    return F.rpad(data, length, pad)
+
+
+def trim_bytes(data: Column, members: bytes) -> Column:
+    """Without the bytes at both ends that are in ``members``."""
+    return F.encode(F.btrim(F.decode(data, "ISO-8859-1"), F.lit(members.decode("ISO-8859-1"))), "ISO-8859-1")
+
+
+def collate(text: Column, collation: str = "und:ci") -> Column:
+    """``und:ci`` compares without regard to case, ``binary`` by bytes; the text stays as it is."""
+    names = {"und:ci": "UTF8_LCASE", "binary": "UTF8_BINARY", "": "UTF8_BINARY"}
+    if collation not in names:
+        raise ValueError(f"no collation {collation}")
+    return F.collate(text, names[collation])
+
+
 def safe_convert_bytes_to_string(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 

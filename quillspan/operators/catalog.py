@@ -40,6 +40,13 @@ class Catalog:
         parts = tuple(name.split("."))
         return ".".join(self.name_path[: max(0, len(self.name_path) + 1 - len(parts))] + parts)
 
+    def set_name_path(self, *name_path: str) -> None:
+        """Shorter names are completed by this path from here on."""
+        self.name_path = name_path
+
+    def add_name_path(self, part: str) -> None:
+        self.name_path = (*self.name_path, part)
+
     def exists(self, name: str) -> bool:
         return self._full(name) in self._paths or self._full(name) in self._views
 
@@ -71,23 +78,26 @@ class Catalog:
         self._retired += sorted(set(before) - set(files))
         self._paths[full] = (files, schema)
 
-    def create(self, name: str, definition: DataFrame | str | T.StructType, or_replace: bool = False, if_not_exists: bool = False, temporary: bool = False) -> None:
-        """CREATE TABLE with a schema, or AS SELECT with a DataFrame."""
+    def create(self, name: str, definition: DataFrame | str | T.StructType, or_replace: bool = False, if_not_exists: bool = False, temporary: bool = False, columns: list[str] | None = None) -> None:
+        """CREATE TABLE with a schema, or AS SELECT with a DataFrame, whose columns get the names of ``columns`` in turn."""
         full = self._full(name)
         if full in self._paths and not or_replace:
             if if_not_exists:
                 return
             raise ValueError(f"table {full} exists")
         rows = definition if isinstance(definition, DataFrame) else self.spark.createDataFrame([], definition)
+        rows = rows if columns is None else rows.toDF(*columns)
         kind = "updated" if full in self._paths else "added"
         self._store(full, rows, rows.schema, [])
         if temporary:
             self._temporary.add(full)
         self.log.append(("table", kind, full))
 
-    def create_view(self, name: str, query: Callable[[], DataFrame], or_replace: bool = False) -> None:
+    def create_view(self, name: str, query: Callable[[], DataFrame], or_replace: bool = False, if_not_exists: bool = False) -> None:
         full = self._full(name)
         if full in self._views and not or_replace:
+            if if_not_exists:
+                return
             raise ValueError(f"view {full} exists")
         self._views[full] = query
         self.log.append(("view", "added", full))

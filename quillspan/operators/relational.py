@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def star_except(df: DataFrame, *names: str) -> DataFrame:
@@ -87,6 +88,20 @@ def join_using(left: DataFrame, right: DataFrame, names: list[str], how: str = "
     return left.join(right, names, how)
 
 
+def array_subquery(outer: DataFrame, inner: DataFrame, on: dict[str, str], value: str, order_by: str, name: str) -> DataFrame:
+    """``ARRAY(SELECT value FROM inner WHERE inner.b = outer.a ... ORDER BY order_by)``; ``on`` maps a to b.
+
+    NULL values stay; outer rows without an inner one get an empty array.
+    """
+    keys = list(on.values())
+    entry = F.struct(F.col(f"`{order_by}`").alias("key"), F.col(f"`{value}`").alias("value"))
+    lists = inner.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("entries")).toDF(*[f"{k} of inner" for k in keys], "entries of inner")
+    found = outer.join(lists, reduce(lambda x, y: x & y, [outer[f"`{a}`"] == lists[f"`{b} of inner`"] for a, b in on.items()]), "left")
+    empty = F.array().cast(T.ArrayType(inner.schema[value].dataType))
+    values = F.coalesce(F.transform("entries of inner", lambda e: e["value"]), empty)
+    return found.select(*[outer[f"`{c}`"] for c in outer.columns], values.alias(name))
+
+
 def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """CROSS JOIN and the comma: the result is of the product's size, so one side should be small."""
     return left.crossJoin(right)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import families, grouping, relational, scalars, tpch, windowing
+from quillspan.plans import families, grouping, relational, scalars, statements, tpch, windowing
 from quillspan.session import configure
 
-MODULES = (tpch, relational, grouping, windowing, scalars, families)
+MODULES = (tpch, relational, grouping, windowing, scalars, families, statements)
 
 
 def _configured(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

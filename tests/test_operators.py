@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.functions import conditional, dates, hashing, maths, net, strings
+from quillspan.functions import aggregates, conditional, dates, hashing, maths, net, strings
 from quillspan.operators import changes, relational
 from quillspan.operators.catalog import Catalog
 
@@ -193,3 +193,41 @@ def test_work_tables_go_with_their_scope(spark):
         (path,) = [p for p in scratch._SCOPES[-1] if "scoped" in p]
         assert kept.count() == 3 and os.path.isdir(path.removeprefix("file:"))
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_catalog_names_and_columns(spark):
+    c = Catalog(spark, ("project",))
+    c.add_name_path("data")
+    c.create("t", spark.range(3), columns=["k"])
+    assert c.table("project.data.t").columns == ["k"]
+    c.create_view("v", lambda: c.table("t"))
+    c.create_view("v", lambda: c.table("missing"), if_not_exists=True)
+    assert c.table("v").count() == 3
+    with pytest.raises(ValueError, match="view project.data.v exists"):
+        c.create_view("v", lambda: c.table("t"))
+    c.set_name_path("project", "other")
+    with pytest.raises(KeyError, match="project.other.t"):
+        c.table("t")
+
+
+def test_having_extreme_and_array_subquery_with_nulls(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 2, 7), ("b", None, 9), (None, 3, 4)], "g string, o int, x int")
+    best = aggregates.having_extreme(rows, ["g"], "o", {"s": F.sum("x"), "n": F.count("*")})
+    assert {tuple(r) for r in best.collect()} == {("a", 7, 2), (None, 4, 1)}
+    least = aggregates.having_extreme(rows, ["g"], "o", {"s": F.sum("x")}, largest=False)
+    assert {tuple(r) for r in least.collect()} == {("a", 5), (None, 4)}
+    outer = spark.createDataFrame([("a",), ("c",), (None,)], "g string")
+    lists = relational.array_subquery(outer, rows.filter("g = 'a'"), {"g": "g"}, "x", "o", "xs")
+    assert {(r.g, tuple(r.xs)) for r in lists.collect()} == {("a", (5, None, 7)), ("c", ()), (None, ())}
+
+
+def test_collation_bytes_and_intervals(spark):
+    assert one(spark, strings.collate(F.lit("Ab")) == F.lit("aB"))
+    assert not one(spark, strings.collate(F.lit("Ab"), "binary") == F.lit("aB"))
+    with pytest.raises(ValueError, match="no collation"):
+        strings.collate(F.lit("x"), "und:xx")
+    assert one(spark, strings.trim_bytes(F.unhex(F.lit("ff00ff")), b"\xff")) == b"\x00"
+    assert one(spark, strings.lpad_bytes(F.unhex(F.lit("ff")), 3, b"\x01")) == b"\x01\x01\xff"
+    back = dates.interval_negate(dates.make_interval(years=1, months=2, hours=25, minutes=61))
+    got = [one(spark, dates.interval_extract(p, back)) for p in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE")]
+    assert got == [-1, -2, 0, -26, -1]
