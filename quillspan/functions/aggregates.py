@@ -6,7 +6,10 @@ collected and sorted; sums, counts and sketches combine before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -65,6 +68,22 @@ def having_extreme(df: DataFrame, keys: list[str], by: str, aggregates: dict[str
     return best.select(*keys, "best.*")
 
 
+def at_ranks(df: DataFrame, keys: list[str], x: Column, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per group its number of values ``n`` and, under each name, the value of ``x`` at a rank; exact.
+
+    A rank counts from 0 at the smallest value and is a function of ``n``.  NULLs do not count; a rank outside the
+    group gives NULL.  Equal values are counted before they meet, and only distinct values are put in order.
+    """
+    own = [f"key_{i}" for i in range(len(keys))]
+    counts = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], x.alias("value")).groupBy(*own, "value").agg(F.count("value").alias("rows"))
+    group = W.partitionBy(*own)
+    upto = F.sum("rows").over(group.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.select(*own, "value", "rows", upto.alias("upto"), F.sum("rows").over(group).alias("all"))
+    n = F.col("all")
+    picked = [F.min(F.when((rank(n) >= F.col("upto") - F.col("rows")) & (rank(n) < F.col("upto")), F.col("value"))) for rank in ranks.values()]
+    return placed.groupBy(*own).agg(F.max("all"), *picked).toDF(*keys, "n", *ranks)
+
+
 def approx_quantiles(x: Column, n: int, accuracy: int = 10_000) -> Column:
     """n + 1 bounds, smallest and largest included."""
     return F.percentile_approx(x, [i / n for i in range(n + 1)], accuracy)
@@ -100,8 +119,6 @@ def top_sum(df: DataFrame, keys: list[str], x: str, weight: str, n: int) -> Data
 
 
 def _top(df: DataFrame, keys: list[str], size: Column, entry: Column, value: Column, n: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy(*keys).orderBy(size.desc(), value.asc()))
     kept = df.withColumn("place", place).filter(F.col("place") <= n)
     entries = F.sort_array(F.collect_list(F.struct("place", entry.alias("entry"))))

@@ -49,9 +49,9 @@ def window_aggregates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    s = read_table(spark, d, "customer")
-    w = W.partitionBy("c_mktsegment")
-    return s.select("c_mktsegment", F.round(V.percentile_cont(F.col("c_acctbal"), 0.25, w), 4).alias("cont"), F.round(V.percentile_disc(F.col("c_acctbal"), 0.25, w), 4).alias("disc")).distinct()
+    s = read_table(spark, d, "customer").select("c_mktsegment", "c_acctbal")
+    found = V.percentiles(s, ["c_mktsegment"], F.col("c_acctbal"), {"cont": 0.25}, {"disc": 0.25})
+    return found.select("c_mktsegment", F.round("cont", 4).alias("cont"), F.round("disc", 4).alias("disc")).distinct()
 
 
 def running_text(spark: SparkSession, d: str) -> DataFrame:

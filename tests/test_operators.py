@@ -231,3 +231,18 @@ def test_collation_bytes_and_intervals(spark):
     back = dates.interval_negate(dates.make_interval(years=1, months=2, hours=25, minutes=61))
     got = [one(spark, dates.interval_extract(p, back)) for p in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE")]
     assert got == [-1, -2, 0, -26, -1]
+
+
+def test_percentiles_of_a_large_partition(spark):
+    import pandas as pd
+
+    from quillspan.functions import windows
+
+    # 20,000 different values in one partition, repeated ones and none in others, and a null key
+    rows = spark.range(20_000).select(F.lit("a").alias("g"), (F.col("id") / 4).alias("x"))
+    rows = rows.union(spark.createDataFrame([("b", 2.0), ("b", 2.0), ("b", None), ("b", 9.0), ("c", None), (None, 1.0), (None, 3.0)], "g string, x double"))
+    found = windows.percentiles(rows, ["g"], F.col("x"), {"cont": 0.3}, {"disc": 0.3, "last": 1.0})
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = {tuple(r) for r in found.withColumn("cont", F.round("cont", 9)).drop("x").distinct().collect()}
+    assert found.count() == 20_007
+    assert got == {("a", round(pd.Series(range(20_000)).quantile(0.3) / 4, 9), 5999 / 4, 19_999 / 4), ("b", 2.0, 2.0, 9.0), ("c", None, None, None), (None, 1.6, 1.0, 3.0)}
