@@ -84,9 +84,12 @@ def at_ranks(df: DataFrame, keys: list[str], x: Column, ranks: dict[str, Callabl
     return placed.groupBy(*own).agg(F.max("all"), *picked).toDF(*keys, "n", *ranks)
 
 
-def approx_quantiles(x: Column, n: int, accuracy: int = 10_000) -> Column:
-    """n + 1 bounds, smallest and largest included."""
-    return F.percentile_approx(x, [i / n for i in range(n + 1)], accuracy)
+def approx_quantiles(df: DataFrame, keys: list[str], x: Column, n: int) -> DataFrame:
+    """APPROX_QUANTILES, exact: per group n + 1 bounds as quantiles array, smallest and largest included; NULL without values."""
+    # bound i is the smallest value with at least i / n of the values at or below it
+    ranks = {f"bound_{i}": lambda count, i=i: F.greatest(F.lit(0), F.floor((count * i + (n - 1)) / n).cast("long") - 1) for i in range(n + 1)}
+    bounds = at_ranks(df, keys, x, ranks)
+    return bounds.select(*[F.col(f"`{k}`") for k in keys], F.when(F.col("n") > 0, F.array(*ranks)).alias("quantiles"))
 
 
 def hll_init(x: Column, precision: int = 15) -> Column:

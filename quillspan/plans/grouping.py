@@ -61,10 +61,9 @@ def top_sum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Quartile bounds; the accuracy makes them exact at any small scale and bounds memory beyond."""
-    return read_table(spark, d, "lineitem").groupBy("l_returnflag").agg(A.approx_quantiles(F.col("l_quantity"), 4).alias("q")).select(
-        "l_returnflag", F.get("q", F.lit(0)).cast("double").alias("low"), F.get("q", F.lit(4)).cast("double").alias("high")
-    )
+    """Outer quartile bounds."""
+    q = A.approx_quantiles(read_table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity"), 4)
+    return q.select("l_returnflag", F.get("quantiles", F.lit(0)).cast("double").alias("low"), F.get("quantiles", F.lit(4)).cast("double").alias("high"))
 
 
 def hll(spark: SparkSession, d: str) -> DataFrame:

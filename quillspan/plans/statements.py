@@ -64,8 +64,8 @@ def array_subquery(spark: SparkSession, d: str) -> DataFrame:
 
 def quartiles(spark: SparkSession, d: str) -> DataFrame:
     """All five bounds of APPROX_QUANTILES(x, 4)."""
-    q = read_table(spark, d, "lineitem").groupBy("l_returnflag").agg(A.approx_quantiles(F.col("l_quantity"), 4).alias("q"))
-    return q.select("l_returnflag", F.posexplode("q").alias("bound", "at")).select("l_returnflag", "bound", F.col("at").cast("double").alias("at"))
+    q = A.approx_quantiles(read_table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity"), 4)
+    return q.select("l_returnflag", F.posexplode("quantiles").alias("bound", "at")).select("l_returnflag", "bound", F.col("at").cast("double").alias("at"))
 
 
 def function_aliases(spark: SparkSession, d: str) -> DataFrame:

@@ -246,3 +246,9 @@ def test_percentiles_of_a_large_partition(spark):
     got = {tuple(r) for r in found.withColumn("cont", F.round("cont", 9)).drop("x").distinct().collect()}
     assert found.count() == 20_007
     assert got == {("a", round(pd.Series(range(20_000)).quantile(0.3) / 4, 9), 5999 / 4, 19_999 / 4), ("b", 2.0, 2.0, 9.0), ("c", None, None, None), (None, 1.6, 1.0, 3.0)}
+
+
+def test_quantiles_are_exact(spark):
+    rows = spark.range(300_000).select(F.lit("a").alias("g"), "id").union(spark.createDataFrame([("b", 5), ("b", None), ("c", None)], "g string, id long"))
+    got = {r.g: r.quantiles for r in aggregates.approx_quantiles(rows, ["g"], F.col("id"), 4).collect()}
+    assert got == {"a": [0, 74_999, 149_999, 224_999, 299_999], "b": [5] * 5, "c": None}
