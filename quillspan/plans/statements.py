@@ -102,7 +102,8 @@ def code_values(spark: SparkSession, d: str) -> DataFrame:
     """Codes and normal forms compared by value."""
     k = F.col("p_partkey")
     codes = strings.to_code_points(F.concat(F.col("p_name"), F.lit("é€😀")))
-    forty = F.unhex(F.lpad(F.hex(k * 7_919_003), 10, "0"))
+    # the low forty bits; lpad alone would keep the high ones of a larger number
+    forty = F.unhex(F.lpad(F.hex((k * 7_919_003).bitwiseAND((1 << 40) - 1)), 10, "0"))
     return read_table(spark, d, "part").select(
         k, F.array_join(codes.cast("array<string>"), ",").alias("codes"), strings.to_hex(strings.code_points_to_bytes(F.array(k % 256, (k * 7) % 256))).alias("bytes"),
         strings.to_base32(forty).alias("b32"), strings.normalize(F.concat(F.col("p_name"), F.lit("é")), "NFC").alias("nfc"),

@@ -252,3 +252,12 @@ def test_quantiles_are_exact(spark):
     rows = spark.range(300_000).select(F.lit("a").alias("g"), "id").union(spark.createDataFrame([("b", 5), ("b", None), ("c", None)], "g string, id long"))
     got = {r.g: r.quantiles for r in aggregates.approx_quantiles(rows, ["g"], F.col("id"), 4).collect()}
     assert got == {"a": [0, 74_999, 149_999, 224_999, 299_999], "b": [5] * 5, "c": None}
+
+
+def test_code_values_of_large_keys(spark, tmp_path):
+    from quillspan.plans import registry
+
+    keys = [1, 138_846, 138_847, 1_200_000, 10**9]
+    spark.createDataFrame([(k, "a", "b") for k in keys], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.b32 for r in registry.queries()["code_values"](spark, str(tmp_path)).collect()}
+    assert got == {k: base64.b32encode((k * 7_919_003 % 2**40).to_bytes(5, "big")).decode() for k in keys}
