@@ -36,7 +36,8 @@ def reg_domain(url: Column) -> Column:
 
 
 def ipv4_from_int64(n: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(n), 8, "0"))
+    """The low 32 bits, for negative and larger numbers too."""
+    return F.unhex(F.lpad(F.hex(n.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"))
 
 
 def ipv4_to_int64(address: Column) -> Column:

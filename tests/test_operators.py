@@ -261,3 +261,14 @@ def test_code_values_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k, "a", "b") for k in keys], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: r.b32 for r in registry.queries()["code_values"](spark, str(tmp_path)).collect()}
     assert got == {k: base64.b32encode((k * 7_919_003 % 2**40).to_bytes(5, "big")).decode() for k in keys}
+
+
+def test_network_of_numbers_beyond_an_address(spark, tmp_path):
+    from quillspan.plans import registry
+
+    keys = [0, 65_535, 65_536, 70_000, 10**7, None]
+    spark.createDataFrame([(k, "http://a.com/") for k in keys], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.ip, r.n, r.net) for r in registry.queries()["network"](spark, str(tmp_path)).collect()}
+    parts = {k: (k * 65537 >> 24, (k * 65537 >> 16) % 256, (k * 65537 >> 8) % 256) for k in keys if k is not None}
+    assert got == {k: (".".join(map(str, [*p, k % 256])), k * 65537, ".".join(map(str, [*p, 0]))) for k, p in parts.items()} | {None: (None, None, None)}
+    assert one(spark, net.ipv4_from_int64(F.lit(-2))) == b"\xff\xff\xff\xfe"
