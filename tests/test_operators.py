@@ -272,3 +272,14 @@ def test_network_of_numbers_beyond_an_address(spark, tmp_path):
     parts = {k: (k * 65537 >> 24, (k * 65537 >> 16) % 256, (k * 65537 >> 8) % 256) for k in keys if k is not None}
     assert got == {k: (".".join(map(str, [*p, k % 256])), k * 65537, ".".join(map(str, [*p, 0]))) for k, p in parts.items()} | {None: (None, None, None)}
     assert one(spark, net.ipv4_from_int64(F.lit(-2))) == b"\xff\xff\xff\xfe"
+
+
+def test_approx_count_has_a_sketch_a_type_only(spark, tmp_path):
+    from quillspan.plans import registry
+
+    rows = [("a", i % 500) for i in range(2000)] + [("b", None), (None, 1), (None, None)]
+    spark.createDataFrame(rows, "event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["approx_count"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("a", 500, True), ("b", 0, True), (None, 1, True)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
+    assert all("user_id" not in keys.split("]")[0] for keys in plan.split("Aggregate(keys=[")[1:] if "approx_count_distinct" in keys.split("\n")[0])
