@@ -6,6 +6,7 @@ import base64
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,19 +21,29 @@ def chr_(code: Column) -> Column:
     return F.when(code == 0, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def code_points_to_string(codes: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def code_points_to_string(codes: pd.Series) -> pd.Series:
     """Any NULL code gives NULL; 0 adds nothing."""
-    data = F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 8, "0")), ""))
-    whole = F.size(F.array_compact(codes)) == F.size(codes)
-    return F.when(whole, F.translate(F.decode(data, "UTF-32"), "\x00", ""))
+
+    def one(codes):
+        if codes is None or pd.isna(codes).any():
+            return None
+        codes = np.asarray(codes)
+        if len(codes) and not 0 <= codes.min() <= codes.max() <= 0x10FFFF:
+            raise ValueError("no code point")
+        return codes.astype("<u4").tobytes().decode("utf-32-le").replace("\0", "")
+
+    return codes.map(one)
 
 
 def code_points_to_bytes(codes: Column) -> Column:
     return F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c), 2, "0")), ""))
 
 
-def to_code_points(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def to_code_points(text: pd.Series) -> pd.Series:
+    # as many bytes a code as the library's own form has, since a batch of texts is held in it
+    return text.map(lambda t: None if t is None else np.frombuffer(t.encode("utf-32-le"), "<u4"))
 
 
 def from_hex(text: Column) -> Column:
@@ -50,17 +61,43 @@ def from_base64(text: Column) -> Column:
 
 def to_base64(data: Column) -> Column:
     """One line: the line breaks that Spark puts behind every 76 characters are taken out."""
-    return F.translate(F.base64(data), "\r\n", "")
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
+_BASE32 = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Ten bits as two characters, and back; what is no pair of base-32 digits has more than ten bits.
+_PAIRS = np.frombuffer(bytes(c for high in _BASE32 for low in _BASE32 for c in (high, low)), "<u2")
+_BITS = np.full(1 << 16, 1 << 10, np.uint16)
+_BITS[_PAIRS] = np.arange(1 << 10)
+
+
+def b32encode(data: bytes) -> str:
+    """As the library's, of which it leaves the last block."""
+    whole = len(data) // 5 * 5
+    b = np.frombuffer(data, np.uint8, whole).reshape(-1, 5).T.astype(np.uint16)
+    bits = np.stack([b[0] << 2 | b[1] >> 6, (b[1] & 63) << 4 | b[2] >> 4, (b[2] & 15) << 6 | b[3] >> 2, (b[3] & 3) << 8 | b[4]], axis=1)
+    return (_PAIRS[bits].tobytes() + base64.b32encode(data[whole:])).decode()
+
+
+def b32decode(text: str) -> bytes:
+    """As the library's, which reads the last block and refuses what is wrong."""
+    if len(text) % 8 or not text.isascii():
+        return base64.b32decode(text)
+    v = _BITS[np.frombuffer(text.encode(), "<u2", max(0, len(text) - 8) // 2)].reshape(-1, 4).T
+    if v.max(initial=0) >> 10:
+        return base64.b32decode(text)
+    data = np.stack([v[0] >> 2, (v[0] & 3) << 6 | v[1] >> 4, (v[1] & 15) << 4 | v[2] >> 6, (v[2] & 63) << 2 | v[3] >> 8, v[3] & 255], axis=1)
+    return data.astype(np.uint8).tobytes() + base64.b32decode(text[-8:])
 
 
 @F.pandas_udf(T.StringType())
 def to_base32(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else base64.b32encode(b).decode())
+    return data.map(lambda b: None if b is None else b32encode(b))
 
 
 @F.pandas_udf(T.BinaryType())
 def from_base32(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else base64.b32decode(t))
+    return text.map(lambda t: None if t is None else b32decode(t))
 
 
 def contains_substr(text: Column, part: str) -> Column:

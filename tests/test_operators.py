@@ -283,3 +283,21 @@ def test_approx_count_has_a_sketch_a_type_only(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {("a", 500, True), ("b", 0, True), (None, 1, True)}
     plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().sparkPlan().toString()
     assert all("user_id" not in keys.split("]")[0] for keys in plan.split("Aggregate(keys=[")[1:] if "approx_count_distinct" in keys.split("\n")[0])
+
+
+def test_code_functions_run_once_a_value(spark):
+    codes = strings.to_code_points(F.col("t"))
+    rows = spark.createDataFrame([("aé€😀",), ("",), (None,)], "t string").select(codes.alias("c"), strings.code_points_to_string(codes).alias("s"))
+    assert [tuple(r) for r in rows.collect()] == [([97, 233, 8364, 128512], "aé€😀"), ([], ""), (None, None)]
+    assert "ascii" not in rows._jdf.queryExecution().toString()
+    lists = spark.createDataFrame([([65, None],), ([65, 0, 66],), ([],), (None,)], "c array<long>")
+    assert [r.s for r in lists.select(strings.code_points_to_string(F.col("c")).alias("s")).collect()] == [None, "AB", "", None]
+    for bad in (-1, 0x110000, 0xD800):
+        with pytest.raises(Exception, match="code point|codec"):
+            one(spark, strings.code_points_to_string(F.array(F.lit(bad))))
+    for n in [*range(12), 1001, 1002]:
+        data = bytes(i * 37 % 256 for i in range(n))
+        assert strings.b32encode(data) == base64.b32encode(data).decode() and strings.b32decode(strings.b32encode(data)) == data
+    for bad in ("AAAAAAA", "AAAAAAA*AAAAAAAA", "aaaaaaaaAAAAAAAA", "AAAAAAA=AAAAAAAA"):
+        with pytest.raises(ValueError):
+            strings.b32decode(bad)
