@@ -31,11 +31,13 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -58,6 +60,8 @@ ROW_DOCS = 64
 GROUPS, BLOCK = 256, 1024
 #: Distinct words whose ids wait for each other before they are packed by batch.
 HELD_WORDS = 40_000
+#: Distinct words that the library tokenises at a time; it holds over a kilobyte for each of them.
+ENCODED_WORDS = 2_000
 #: Longer words are folded in blocks of ``BLOCK_PIECES`` pieces.
 FLAT, BLOCK_PIECES = 96, 16
 #: Buckets of the literal rank map, hardly ever more than two entries each: a map literal is searched from its start.
@@ -79,6 +83,26 @@ _SPACED = re.compile(r"(?<=\S) (?=\S)")
 # ---- pre-tokens of a text
 
 
+@cache
+def _tokenizer(file: str):
+    """The library of the vocabulary file, read once a worker process, as each reading leaves memory behind."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def give_back() -> None:
+    """Workers live on between batches and tasks; what a batch needed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class PatternSplitter:
     """Every match of the pattern is a pre-token."""
 
@@ -93,9 +117,7 @@ class LibrarySplitter:
     """Pre-tokens as the tokenizer file has them: its special strings first, then its pre-tokeniser."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(file).pre_tokenizer
+        self.library = _tokenizer(file).pre_tokenizer
         special = [t["content"] for t in json.loads(open(file, encoding="utf-8").read())["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         self.find = regex.compile(public_tokenizers.PATTERN).findall
@@ -283,12 +305,13 @@ def batch_table(docs: DataFrame, doc_id: str, text: str, splitter, ordered: bool
                 text = text.as_py()
                 if not held.takes(len(text)):
                     yield _batch_rows(number, held, ordered)
-                    # workers live on between tasks; what a batch needed goes back to the machine
-                    pa.default_memory_pool().release_unused()
                     held, number = Batch(split), number + 1
+                    give_back()
                 held.add(doc_id, text)
         if held.ids:
             yield _batch_rows(number, held, ordered)
+        del held
+        give_back()
 
     narrow = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), binary_text(docs[f"`{text}`"]).alias("text"))
     return keep_bucketed(narrow.mapInArrow(rows, BATCHES), "pretokens", "batch")
@@ -327,19 +350,15 @@ def piece_counts(table: DataFrame, file: str) -> DataFrame:
     """(of_batch, locals, pieces) for every vocabulary; each distinct pre-token of a group is counted once."""
 
     def count(group: pa.Table) -> pa.Table:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(file)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(file)
         words, which, batches, locals_ = _distinct(group)
         pieces = np.empty(len(words), np.int64)
-        for start in range(0, len(words), HELD_WORDS):
-            part = [w.decode("utf-8") for w in words[start : start + HELD_WORDS].to_pylist()]
+        for start in range(0, len(words), ENCODED_WORDS):
+            part = [w.decode("utf-8") for w in words[start : start + ENCODED_WORDS].to_pylist()]
             pieces[start : start + len(part)] = [len(e) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         rows = [(batch, squeeze_rising(locals_[own]), squeeze(pieces[which[own]])) for batch, own in _by_batch(batches, locals_)]
         of, places, counts = zip(*rows, strict=True)
+        give_back()
         return pa.table({"of_batch": pa.array(of, pa.int64()), "locals": pa.array(places, pa.binary()), "pieces": pa.array(counts, pa.binary())})
 
     return _grouped_words(table).applyInArrow(count, "of_batch long, locals binary, pieces binary")

@@ -102,3 +102,20 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pretokens.token_counts(empty, P.path("byte_bpe_50k.json")).count() == 0
     assert pretokens.digests(empty, P.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_the_library_is_read_once_a_process(monkeypatch):
+    import tokenizers
+
+    read = []
+
+    class Counted:
+        @staticmethod
+        def from_file(file, whole=tokenizers.Tokenizer.from_file):
+            read.append(file)
+            return whole(file)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    file = P.path("byte_bpe_50k.json")
+    texts = [[pretokens.LibrarySplitter(file)(t) for t in ("a b", "ſ é͸")] for _ in range(2)]
+    assert texts[0] == texts[1] and len(read) <= 1
